@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lossledger import schemas
 from lossledger.functions.tokens import Tokenizer
+from lossledger.operators.settle import settled
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -259,8 +260,9 @@ def raw_lines(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
             F.when(broken("unknown_key"), F.lit(True)).alias("unexpected"),
         )
     )
-    cut = F.left(line, F.length(line) - 2)
-    return df.select(F.when(broken("truncated"), cut).otherwise(line).alias("value"), "source_pos")
+    lines = settled(df.select(line.alias("line"), broken("truncated").alias("cut"), "source_pos"))
+    kept = F.when(F.col("cut"), F.left("line", F.length("line") - 2)).otherwise(F.col("line"))
+    return settled(lines.select(kept.alias("value"), "source_pos"))
 
 
 def all_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,3 +271,83 @@ def all_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     for other in rest:
         first = first.unionByName(other)
     return first
+
+
+def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table read as a feed of raw records, a month of mixed entities.
+
+    Clicks are policies, purchases payments, views and signups claims. Errors are records
+    that cannot be stored: cut off, not UTF-8, or without a customer id.
+    """
+    kind, key = F.col("event_type"), F.col("event_id").cast("string")
+    day = _iso_day(F.col("ts"))
+    fault = F.when(kind == "error", _pick(F.col("user_id") % 3, "contract", "json", "utf8")).otherwise("")
+    policy = F.struct(
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("policy_id"),
+        F.when(fault != "contract", F.concat(F.lit("C"), F.col("user_id").cast("string"))).alias("customer_id"),
+        F.lit("Pat Doe").alias("customer_name"),
+        F.lit("Pat@Example.com").alias("customer_email"),
+        F.lit("property").alias("line_of_business"),
+        F.lit("NY").alias("state"),
+        day.alias("effective_date"),
+        day.alias("expiration_date"),
+        (F.col("value") + 1).alias("annual_premium"),
+        F.lit(1000.0).alias("coverage_limit"),
+        F.lit(0).alias("deductible"),
+        F.lit("active").alias("status"),
+    )
+    claim = F.struct(
+        F.concat(F.lit("K"), key).alias("claim_id"),
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("policy_id"),
+        F.lit("Pat Doe").alias("claimant_name"),
+        F.lit("Pat@Example.com").alias("claimant_email"),
+        day.alias("loss_date"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("reported_at"),
+        F.lit("theft").alias("claim_type"),
+        F.lit("NY").alias("state"),
+        F.col("value").alias("reserve_amount"),
+        F.lit(0).alias("paid_amount"),
+        F.lit("open").alias("status"),
+        F.lit("adj-001").alias("adjuster_id"),
+        (F.col("user_id") % 5 + 1).alias("severity"),
+        F.lit("portal").alias("source_system"),
+    )
+    payment = F.struct(
+        F.concat(F.lit("Y"), key).alias("payment_id"),
+        F.concat(F.lit("K"), key).alias("claim_id"),
+        day.alias("payment_date"),
+        (F.col("value") + 1).alias("amount"),
+        F.lit("repair").alias("payment_type"),
+        F.lit("Pat Doe").alias("payee_name"),
+        F.lit("issued").alias("payment_status"),
+    )
+
+    def line(event_type: str, payload: Column) -> Column:
+        return F.to_json(
+            F.struct(
+                F.concat(F.lit("feed-"), F.lpad(key, 12, "0")).alias("event_id"),
+                F.lit(event_type).alias("event_type"),
+                F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("occurred_at"),
+                F.concat(F.lit("feed-"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("correlation_id"),
+                payload.alias("payload"),
+            )
+        )
+
+    whole = (
+        F.when(kind == "purchase", line("payment.issued", payment))
+        .when(kind == "view", line("claim.opened", claim))
+        .when(kind == "signup", line("claim.updated", claim))
+        .otherwise(line("policy.created", policy))
+    )
+    position = F.struct(F.lit("events").alias("source"), F.lit(0).cast("bigint").alias("block"), F.col("event_id").alias("row"))
+    feed = table(spark, sf_dir, "events").select(
+        whole.alias("line"), fault.alias("fault"), position.alias("source_pos")
+    )
+    line_of, fault_of_line = F.col("line"), F.col("fault")
+    undecodable = F.concat(line_of.cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    value = (
+        F.when(fault_of_line == "json", F.left(line_of, F.length(line_of) - 2))
+        .when(fault_of_line == "utf8", undecodable)
+        .otherwise(line_of)
+    )
+    return settled(settled(feed).select(value.alias("value"), "source_pos"))

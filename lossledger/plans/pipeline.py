@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lossledger import schemas
 from lossledger.lake import Lake
 from lossledger.plans import gold, quality, silver
 from lossledger.session import configure
@@ -29,9 +30,11 @@ class RunReport:
     status: str
 
 
-def build_run(spark: SparkSession, lake: Lake, run_id: str) -> dict[str, DataFrame]:
-    """Write every table of a run; each later table starts from the ones already written."""
-    bronze = {e: read_entity(spark, lake.bronze, e) for e in ("policy", "claim", "payment")}
+def build_run(lake: Lake, run_id: str, bronze: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write every table of a run; each later table starts from the ones already written.
+
+    `bronze` holds one frame per entity.
+    """
     policies = silver.stg_policies(bronze["policy"])
     claims = silver.stg_claims(bronze["claim"])
     payments = silver.stg_payments(bronze["payment"])
@@ -68,7 +71,8 @@ def run_pipeline(
     """
     configure(spark)
     run_id = run_id or uuid.uuid4().hex
-    tables = build_run(spark, lake, run_id)
+    bronze = {entity: read_entity(spark, lake.bronze, entity) for entity in schemas.ENTITIES}
+    tables = build_run(lake, run_id, bronze)
 
     results = quality.data_tests(tables).where("failures > 0").collect()  # fifteen rows at most
     failed = [(r["table"], r["test"], r["failures"]) for r in results]
