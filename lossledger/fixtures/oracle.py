@@ -370,7 +370,8 @@ def statements() -> dict[str, str]:
           USING (claimant)""",
         "ledger_anti_join": f"""SELECT entity, event_id, pos FROM raw
           WHERE event_id NOT IN (SELECT event_id FROM {_LEDGER})""",
-        "ledger_outcomes": f"""SELECT outcome AS status, count(*) AS events, count(DISTINCT event_id) AS ids
+        "ledger_outcomes": f"""SELECT outcome AS status, count(*) AS events,
+          count(DISTINCT CASE WHEN outcome <> 'rejected' THEN event_id END) AS ids
           FROM {_TAGGED} GROUP BY 1""",
         "ingest_totals": f"""SELECT count(*) FILTER (WHERE outcome = 'accepted') AS accepted,
           count(*) FILTER (WHERE outcome = 'rejected') AS rejected,

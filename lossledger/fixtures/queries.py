@@ -389,15 +389,12 @@ def ledger_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ledger_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes against a ledger; events and distinct ids differ by copies inside the batch.
-
-    The ids of lines that are not readable JSON are taken from the line's own key.
-    """
-    lines = fx.all_raw_lines(spark, sf_dir)
-    tagged = ingest.tag(contracts.check(lines), _earlier_ids(spark, sf_dir))
-    return tagged.groupBy("status").agg(
-        F.count("*").alias("events"),
-        F.count_distinct(F.coalesce("event_id", F.regexp_extract("value", '"event_id":"([^"]*)"', 1))).alias("ids"),
+    """Outcomes against a ledger; events and distinct ids differ by copies inside the batch."""
+    valid_id = F.when(F.col("status") != contracts.REJECTED, F.col("event_id"))
+    return (
+        _tagged(spark, sf_dir)
+        .groupBy("status")
+        .agg(F.count("*").alias("events"), F.count_distinct(valid_id).alias("ids"))
     )
 
 
