@@ -356,7 +356,7 @@ def statements() -> dict[str, str]:
         "accepted_claim_values": """SELECT event_id, claim_id, policy_id, lower(claimant_email) AS claimant_email,
           strftime(loss_date, '%Y-%m-%d') AS loss_date,
           strftime(reported_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS reported_at,
-          reserve_amount, paid_amount, severity FROM ev_claim
+          reserve_amount, paid_amount, status, severity FROM ev_claim
           WHERE event_id || pos IN (SELECT event_id || pos FROM outcome WHERE status = 'accepted')""",
         "version_drift": """SELECT event_type, event_version, count(*) AS events, event_version <= 1 AS is_supported
           FROM outcome WHERE status = 'accepted' GROUP BY ALL""",

@@ -260,7 +260,7 @@ def slo_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def slo_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = _classified(spark, sf_dir).agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == contracts.REJECTED).alias("r")
+        F.count("*").alias("n"), F.count_if(F.col("outcome") == contracts.REJECTED).alias("r")
     )
     report = quality.slo_report(
         _fact(spark, sf_dir), counted.select("n").scalar(), counted.select("r").scalar()
@@ -280,11 +280,11 @@ def _classified(spark: SparkSession, sf_dir: str, mode: str = contracts.LAX) ->
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _classified(spark, sf_dir).where(F.col("status") == contracts.ACCEPTED)
+    return _classified(spark, sf_dir).where(F.col("outcome") == contracts.ACCEPTED)
 
 
 def _split_counts(tagged: DataFrame) -> DataFrame:
-    return tagged.groupBy("status", "error_class", "entity").agg(F.count("*").alias("events"))
+    return tagged.groupBy(F.col("outcome").alias("status"), "error_class", "entity").agg(F.count("*").alias("events"))
 
 
 @query
@@ -299,7 +299,7 @@ def contract_strict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dead_letter_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rejected = _classified(spark, sf_dir).where(F.col("status") == contracts.REJECTED)
+    rejected = _classified(spark, sf_dir).where(F.col("outcome") == contracts.REJECTED)
     return monitoring.dead_letter_triage(rejected)
 
 
@@ -319,7 +319,7 @@ def accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def accepted_claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = contracts.classify(contracts.check(fx.raw_lines(spark, sf_dir, "claim")), F.lit(False))
-    return tagged.where(F.col("status") == contracts.ACCEPTED).select(
+    return tagged.where(F.col("outcome") == contracts.ACCEPTED).select(
         "event_id",
         "claim_id",
         "policy_id",
@@ -328,6 +328,7 @@ def accepted_claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reported_at",
         "reserve_amount",
         "paid_amount",
+        "status",
         "severity",
     )
 
@@ -390,10 +391,10 @@ def ledger_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ledger_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes against a ledger; events and distinct ids differ by copies inside the batch."""
-    valid_id = F.when(F.col("status") != contracts.REJECTED, F.col("event_id"))
+    valid_id = F.when(F.col("outcome") != contracts.REJECTED, F.col("event_id"))
     return (
         _tagged(spark, sf_dir)
-        .groupBy("status")
+        .groupBy(F.col("outcome").alias("status"))
         .agg(F.count("*").alias("events"), F.count_distinct(valid_id).alias("ids"))
     )
 
@@ -449,7 +450,7 @@ def backfill_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = record_source.records_between(fx.all_raw_lines(spark, sf_dir), start, end)
     tagged = contracts.classify(contracts.check(archive), F.lit(False))
     return (
-        tagged.where(F.col("status") == contracts.ACCEPTED)
+        tagged.where(F.col("outcome") == contracts.ACCEPTED)
         .groupBy("entity")
         .agg(
             F.count("*").alias("events"),
@@ -469,7 +470,7 @@ def mixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = as_text.unionByName(record_source.from_column(in_bytes, "value"))
     records = records.unionByName(record_source.from_column(parsed, "value"))
     tagged = contracts.classify(contracts.check(records), F.lit(False))
-    return tagged.groupBy("status", "error_class").agg(F.count("*").alias("events"))
+    return tagged.groupBy(F.col("outcome").alias("status"), "error_class").agg(F.count("*").alias("events"))
 
 
 @query
@@ -537,7 +538,7 @@ def _ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select(
         "ts",
         (F.col("value") / 100).alias("seconds"),
-        F.when(is_error, contracts.REJECTED).otherwise(contracts.ACCEPTED).alias("status"),
+        F.when(is_error, contracts.REJECTED).otherwise(contracts.ACCEPTED).alias("outcome"),
         F.when(~is_error, F.coalesce(entity, F.lit("claim"))).alias("entity"),
         F.when(is_error, classes[(F.col("user_id") % 3).cast("int")]).alias("error_class"),
     )

@@ -347,23 +347,23 @@ def check(
 
 
 def classify(checked: DataFrame, is_known: Column) -> DataFrame:
-    """Add `status`, `errors`, `error_class` and `reason`.
+    """Add `outcome`, `errors`, `error_class` and `reason`.
 
     Order of decisions: envelope, then the ledger, then the payload. A known event with a
     broken payload is therefore a duplicate, not a reject.
     """
     bad_envelope = F.col("envelope_class").isNotNull()
-    status = (
+    outcome = (
         F.when(bad_envelope, REJECTED)
         .when(is_known, DUPLICATE)
         .when(F.size("payload_errors") > 0, REJECTED)
         .otherwise(ACCEPTED)
     )
-    rejected = F.col("status") == REJECTED
+    rejected = F.col("outcome") == REJECTED
     errors = F.when(bad_envelope, F.col("envelope_errors")).otherwise(F.col("payload_errors"))
     sentence = F.transform("errors", lambda e: F.concat_ws(": ", F.nullif(e["field"], F.lit("")), e["error"]))
     tagged = (
-        checked.withColumn("status", status)
+        checked.withColumn("outcome", outcome)
         .withColumns(
             {
                 "errors": F.when(rejected, errors),

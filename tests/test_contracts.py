@@ -61,7 +61,7 @@ REJECTS = {
 def test_rejects_name_the_offending_field(spark):
     rows = judge(spark, *[r for r, _ in REJECTS.values()])
     for (name, (_, field)), row in zip(REJECTS.items(), rows, strict=True):
-        assert row["status"] == contracts.REJECTED, name
+        assert row["outcome"] == contracts.REJECTED, name
         assert row["error_class"] == contracts.CONTRACT_ERROR, name
         assert [e["field"] for e in row["errors"]] == [field], name
         assert field in row["reason"], name
@@ -69,7 +69,7 @@ def test_rejects_name_the_offending_field(spark):
 
 def test_valid_events_of_every_entity_are_accepted(spark):
     rows = judge(spark, *[event(e, f"event-{e}") for e in ("policy", "claim", "payment")])
-    assert [r["status"] for r in rows] == [contracts.ACCEPTED] * 3
+    assert [r["outcome"] for r in rows] == [contracts.ACCEPTED] * 3
     assert [r["entity"] for r in rows] == ["policy", "claim", "payment"]
     assert rows[0]["customer_email"] == "jamie@example.com"
     assert rows[0]["annual_premium"] == 1200.5 and rows[0]["coverage_limit"] == 100000.0
@@ -91,7 +91,7 @@ def test_last_of_equal_keys_wins_and_key_order_is_free(spark):
     twice = json.dumps(record)[:-1] + ', "producer": "second"}'
     turned = json.dumps(dict(reversed(list(record.items()))))
     rows = judge(spark, twice, turned)
-    assert [r["status"] for r in rows] == [contracts.ACCEPTED] * 2
+    assert [r["outcome"] for r in rows] == [contracts.ACCEPTED] * 2
     assert rows[0]["producer"] == "second"
 
 
@@ -100,8 +100,8 @@ def test_defaults_apply_to_absent_keys_only(spark):
     del bare["event_version"]
     rows = judge(spark, bare, with_key(producer=""), with_key(event_version=None))
     assert (rows[0]["event_version"], rows[0]["producer"]) == (1, "unnamed-producer")
-    assert rows[1]["status"] == contracts.ACCEPTED
-    assert rows[2]["status"] == contracts.REJECTED
+    assert rows[1]["outcome"] == contracts.ACCEPTED
+    assert rows[2]["outcome"] == contracts.REJECTED
 
 
 NUMBERS = {
@@ -115,7 +115,7 @@ def test_lenient_numbers(spark):
     values = [*NUMBERS, True, 7]
     rows = judge(spark, *[event("payment", f"event-{i:04}", amount=v) for i, v in enumerate(values)])
     assert [r["amount"] for r in rows] == [*NUMBERS.values(), 1.0, 7.0]
-    assert [r["status"] == contracts.ACCEPTED for r in rows] == [r["amount"] is not None for r in rows]
+    assert [r["outcome"] == contracts.ACCEPTED for r in rows] == [r["amount"] is not None for r in rows]
 
 
 WHOLES = {"3": 3, " 3 ": 3, "+3": 3, "3.0": 3, "03": 3, "3.00": 3, "1e0": None, "3.": None, "3.5": None, "": None}
@@ -186,8 +186,8 @@ def test_strict_mode_has_no_defaults_and_no_lenient_envelope(spark):
     cases = [absent, with_key(producer=""), with_key(event_version="1"), with_key(occurred_at=1735862400)]
     cases += [with_key(occurred_at="2025-03-01 10:00:00Z"), with_key()]
     strict = judge(spark, *cases, mode=contracts.STRICT)
-    assert [r["status"] for r in strict] == [contracts.REJECTED] * 5 + [contracts.ACCEPTED]
-    assert [r["status"] for r in judge(spark, *cases)] == [contracts.ACCEPTED] * 6
+    assert [r["outcome"] for r in strict] == [contracts.REJECTED] * 5 + [contracts.ACCEPTED]
+    assert [r["outcome"] for r in judge(spark, *cases)] == [contracts.ACCEPTED] * 6
     with pytest.raises(ValueError, match="mode"):
         contracts.check(lines(spark, "{}"), mode="loose")
 
@@ -195,4 +195,11 @@ def test_strict_mode_has_no_defaults_and_no_lenient_envelope(spark):
 def test_known_event_with_broken_payload_is_a_duplicate(spark):
     checked = contracts.check(lines(spark, event("payment", amount=-1), with_key(event_id="short")))
     rows = contracts.classify(checked, F.lit(True)).orderBy("source_pos").collect()
-    assert [r["status"] for r in rows] == [contracts.DUPLICATE, contracts.REJECTED]
+    assert [r["outcome"] for r in rows] == [contracts.DUPLICATE, contracts.REJECTED]
+
+
+def test_payload_columns_survive_classification(spark):
+    tagged = contracts.classify(contracts.check(lines(spark, event("claim"), event("policy"))), F.lit(False))
+    rows = tagged.orderBy("source_pos").collect()
+    assert [r["status"] for r in rows] == ["open", "active"]
+    assert len(tagged.columns) == len(set(tagged.columns))
