@@ -28,6 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all task slots when a table has fewer splits than that; larger tables stay as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
+
+
 def _dec(name: str) -> Column:
     return F.col(name).cast("decimal(18,2)")
 
@@ -58,7 +64,7 @@ def _iso_day(col: Column) -> Column:
 
 def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy version per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -101,7 +107,7 @@ def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim version per line item; the claim is the order, the policy its customer."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     supplier = F.concat(F.lit("Claimant "), F.col("l_suppkey").cast("string"))
     reserve = _dec("l_extendedprice")
@@ -150,7 +156,7 @@ def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payment per line item."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fault_key"),
         F.struct(
@@ -340,7 +346,7 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(line("policy.created", policy))
     )
     position = F.struct(F.lit("events").alias("source"), F.lit(0).cast("bigint").alias("block"), F.col("event_id").alias("row"))
-    feed = table(spark, sf_dir, "events").select(
+    feed = spread(table(spark, sf_dir, "events"), "event_id").select(
         whole.alias("line"), fault.alias("fault"), position.alias("source_pos")
     )
     line_of, fault_of_line = F.col("line"), F.col("fault")
