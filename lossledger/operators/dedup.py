@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Distinct ids of one batch that may be broadcast: about 64 bytes each, so at most ~250 MB.
-BROADCAST_IDS = 4_000_000
+# Ids of one batch may be broadcast up to this measured size.
+BROADCAST_BYTES = 128 * 1024 * 1024
+_ROW_OVERHEAD = 48  # hash table and row header per id
 
 
 def latest_by(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -28,22 +29,28 @@ def latest_event(bronze: DataFrame) -> DataFrame:
     )
 
 
-def known_ids(batch_ids: DataFrame, ledger_ids: DataFrame, batch_rows: int) -> DataFrame:
+def ids_fit(batch: DataFrame) -> bool:
+    """Whether the event ids of a batch are measured small enough to broadcast."""
+    size = batch.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("event_id")), F.lit(0))).first()
+    return size[1] + size[0] * _ROW_OVERHEAD <= BROADCAST_BYTES
+
+
+def known_ids(batch_ids: DataFrame, ledger_ids: DataFrame, fits: bool) -> DataFrame:
     """Those ids of a batch that the ledger holds, once each.
 
-    A batch of counted, small size is broadcast against the ledger scan, so the ledger is
-    read in place and never shuffled. Beyond that size both sides are shuffled on the id.
+    A batch whose ids fit (see `ids_fit`) is broadcast against the ledger scan, so the ledger
+    is read in place and never shuffled. Beyond that both sides are shuffled on the id.
     """
     ids = batch_ids.select("event_id").distinct()
-    if batch_rows <= BROADCAST_IDS:
+    if fits:
         ids = F.broadcast(ids)
     return ledger_ids.select("event_id").join(ids, "event_id", "left_semi").distinct()
 
 
-def flag_known(batch: DataFrame, known: DataFrame, batch_rows: int, flag: str = "is_known") -> DataFrame:
+def flag_known(batch: DataFrame, known: DataFrame, fits: bool, flag: str = "is_known") -> DataFrame:
     """Add a boolean that says whether the event id was acknowledged before."""
     hits = known.select("event_id", F.lit(True).alias(flag))
-    if batch_rows <= BROADCAST_IDS:  # `known` is a subset of the batch's ids
+    if fits:  # `known` is a subset of the batch's ids
         hits = F.broadcast(hits)
     return batch.join(hits, "event_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 

@@ -66,6 +66,15 @@ def test_known_id_with_broken_payload_and_conservation(spark, lake, tokens):
     assert metric["source_rows"] == 4 and metric["accepted_share"] == 0.25
 
 
+def test_ledger_check_without_broadcast_gives_the_same(spark, lake, tokens, monkeypatch):
+    from lossledger.operators import dedup
+
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", 0)
+    run(spark, lake, tokens, "b1", event("payment"))
+    result = run(spark, lake, tokens, "b2", event("payment"), event("payment"), event("payment", "event-0002"))
+    assert (result.accepted, result.rejected, result.duplicates) == (1, 0, 2)
+
+
 def test_last_event_is_the_last_to_arrive(spark, lake, tokens):
     late = {"occurred_at": "2024-01-01T00:00:00Z"}
     run(spark, lake, tokens, "b1", event("policy"), event("claim", "event-0002", envelope=late))
