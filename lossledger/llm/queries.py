@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lossledger.llm import (
+    licence_scan,
     near_dedup,
     packing,
     quality_classifier,
     quality_rules,
     substring_dedup,
     suffix_dedup,
+    token_shards,
 )
 from lossledger.llm.common import table
 
@@ -27,6 +30,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_shards.encode_documents(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -37,6 +46,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+@query
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
