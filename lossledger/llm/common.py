@@ -80,7 +80,7 @@ class Scratch:
 
 def size_hint(df: DataFrame) -> int:
     """Bytes that Spark's statistics give for a frame; for a file scan the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def tasks_for(df: DataFrame, per_task: int = TASK_BYTES) -> int:
