@@ -1,7 +1,7 @@
 """Long repeated byte strings found by a logarithmic family of suffix arrays.
 
 Documents come in batches. Each batch gets a sparse suffix array: the suffixes that begin at
-the chosen gram of each run of windows (see `repeats`), in the order of their first 64 bytes'
+the chosen gram of each run of windows (see `repeats`), in the order of their first bytes'
 fingerprint, stored in sorted buckets. It is merge-scanned against the arrays of all existing
 levels; suffixes that share their lead with another one are long matches. Two levels of
 equal rank merge into one of the next rank, so a suffix is rewritten only log2(batches) times,
@@ -32,7 +32,7 @@ from lossledger.llm.hashing import mix, prefix_sums, span_hashes
 from lossledger.llm.repeats import byte_runs, covered
 
 #: Bytes of a string that is removed when it repeats; bytes of a lead.
-WIDTH, GRAM = 200, 64
+WIDTH, GRAM = 200, 128
 #: Batches that the whole table is read in.
 BATCHES = 4
 
@@ -167,6 +167,8 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame, batches: int = BATCHES)
     place = F.struct("row", "start", "length")
     hulls = scratch.store(entries.groupBy("lead", "hull").agg(F.count("*").alias("n"), F.min(place).alias("at")), "hulls")
     whole = entries.join(hulls.where("n > 1").select("lead", "hull"), ["lead", "hull"], "left_semi")
+    whole = scratch.store(whole.select("row", "start", "length"), "whole")
+    scratch.drop(matches, entries)
 
     # Runs whose lead repeats in another hull only: compare window by window, one run for each hull.
     single = F.col("n") == 1
@@ -178,11 +180,13 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame, batches: int = BATCHES)
     windows = scratch.store(
         body.join(runs, "row").mapInArrow(_windows, "lead long, key long, row long, start int, single boolean"), "windows"
     )
+    scratch.drop(hulls)
     again = windows.groupBy("lead", "key").agg(F.count("*").alias("n")).where("n > 1").select("lead", "key")
+    again = scratch.store(again, "again")
     found = windows.where("single").join(again, ["lead", "key"], "left_semi").select("row", "start", F.lit(1).alias("length"))
-    ranges = whole.select("row", "start", "length").unionByName(found)
+    ranges = whole.unionByName(found)
     out = scratch.store(ranges.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("ranges")), "ranges")
-    scratch.drop(matches, entries, hulls, windows)
+    scratch.drop(whole, windows, again)
     return out
 
 
