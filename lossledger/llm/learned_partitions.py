@@ -199,7 +199,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     total = rows.count()
     # Bounded: SAMPLE vectors.
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
-    router = fit(np.array([r.v for r in taken], dtype=np.float64).reshape(len(taken), -1), total, k)
+    router = fit(np.array([r.v for r in taken], dtype=np.float64).reshape(len(taken), -1 if taken else 1), total, k)
     sent = spark.sparkContext.broadcast(router)  # fixed size: HIDDEN * (dimensions + parts)
 
     def file_rows(batches):
