@@ -28,12 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all task slots when a table has fewer splits than that; larger tables stay as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if df.rdd.getNumPartitions() < slots else df
-
-
 def _dec(name: str) -> Column:
     return F.col(name).cast("decimal(18,2)")
 
@@ -64,7 +58,7 @@ def _iso_day(col: Column) -> Column:
 
 def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy version per order."""
-    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -107,7 +101,7 @@ def policy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim version per line item; the claim is the order, the policy its customer."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     supplier = F.concat(F.lit("Claimant "), F.col("l_suppkey").cast("string"))
     reserve = _dec("l_extendedprice")
@@ -138,25 +132,25 @@ def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("reported_at"),
         _pick(
             F.col("l_linenumber") % 5,
-            "collision",
-            "theft",
-            "water_damage",
-            "bodily_injury",
-            "property_damage",
+            "hail",
+            "burst_pipe",
+            "rear_end",
+            "break_in",
+            "lightning",
         ).alias("claim_type"),
         _state(F.col("l_suppkey")).alias("state"),
         F.col("l_extendedprice").alias("reserve_amount"),
         (reserve * _dec("l_discount") * 10).cast("double").alias("paid_amount"),
         _pick(F.col("l_partkey") % 5, *schemas.CLAIM_STATUSES).alias("status"),
-        F.concat(F.lit("adj-"), F.lpad((F.col("l_suppkey") % 40).cast("string"), 3, "0")).alias("adjuster_id"),
+        F.concat(F.lit("desk-"), (F.col("l_suppkey") % 23).cast("string")).alias("adjuster_id"),
         (F.col("l_suppkey") % 5 + 1).alias("severity"),
-        _pick(F.col("l_suppkey") % 4, "portal", "mobile", "call_center", "partner_api").alias("source_system"),
+        _pick(F.col("l_suppkey") % 4, "letter", "branch", "agent", "partner_api").alias("source_system"),
     )
 
 
 def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payment per line item."""
-    lines = spread(table(spark, sf_dir, "lineitem"), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fault_key"),
         F.struct(
@@ -175,7 +169,7 @@ def payment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("claim_id"),
         _iso_day(F.col("l_shipdate")).alias("payment_date"),
         (_dec("l_quantity") * _dec("l_tax") * 100).cast("double").alias("amount"),
-        _pick(F.col("l_linenumber") % 4, "indemnity", "expense", "medical", "repair").alias("payment_type"),
+        _pick(F.col("l_linenumber") % 4, "advance", "rest", "fee", "refund").alias("payment_type"),
         F.concat(F.lit("Payee "), F.col("l_suppkey").cast("string")).alias("payee_name"),
         F.when(F.col("l_returnflag") == "R", "void")
         .when(F.col("l_returnflag") == "A", "cleared")
@@ -291,8 +285,8 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = F.struct(
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("policy_id"),
         F.when(fault != "contract", F.concat(F.lit("C"), F.col("user_id").cast("string"))).alias("customer_id"),
-        F.lit("Pat Doe").alias("customer_name"),
-        F.lit("Pat@Example.com").alias("customer_email"),
+        F.lit("Robin Example").alias("customer_name"),
+        F.lit("Robin@Mail.Example").alias("customer_email"),
         F.lit("property").alias("line_of_business"),
         F.lit("NY").alias("state"),
         day.alias("effective_date"),
@@ -305,26 +299,26 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     claim = F.struct(
         F.concat(F.lit("K"), key).alias("claim_id"),
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("policy_id"),
-        F.lit("Pat Doe").alias("claimant_name"),
-        F.lit("Pat@Example.com").alias("claimant_email"),
+        F.lit("Robin Example").alias("claimant_name"),
+        F.lit("Robin@Mail.Example").alias("claimant_email"),
         day.alias("loss_date"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("reported_at"),
-        F.lit("theft").alias("claim_type"),
+        F.lit("hail").alias("claim_type"),
         F.lit("NY").alias("state"),
         F.col("value").alias("reserve_amount"),
         F.lit(0).alias("paid_amount"),
         F.lit("open").alias("status"),
-        F.lit("adj-001").alias("adjuster_id"),
+        F.lit("desk-7").alias("adjuster_id"),
         (F.col("user_id") % 5 + 1).alias("severity"),
-        F.lit("portal").alias("source_system"),
+        F.lit("letter").alias("source_system"),
     )
     payment = F.struct(
         F.concat(F.lit("Y"), key).alias("payment_id"),
         F.concat(F.lit("K"), key).alias("claim_id"),
         day.alias("payment_date"),
         (F.col("value") + 1).alias("amount"),
-        F.lit("repair").alias("payment_type"),
-        F.lit("Pat Doe").alias("payee_name"),
+        F.lit("refund").alias("payment_type"),
+        F.lit("Robin Example").alias("payee_name"),
         F.lit("issued").alias("payment_status"),
     )
 
@@ -346,7 +340,7 @@ def feed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(line("policy.created", policy))
     )
     position = F.struct(F.lit("events").alias("source"), F.lit(0).cast("bigint").alias("block"), F.col("event_id").alias("row"))
-    feed = spread(table(spark, sf_dir, "events"), "event_id").select(
+    feed = table(spark, sf_dir, "events").select(
         whole.alias("line"), fault.alias("fault"), position.alias("source_pos")
     )
     line_of, fault_of_line = F.col("line"), F.col("fault")

@@ -52,14 +52,14 @@ CTES["ev_claim"] = f"""
     'Claimant ' || l_suppkey AS claimant_name, 'Claimant.' || l_suppkey || '@Example.com' AS claimant_email,
     CAST(o_orderdate AS DATE) AS loss_date,
     CAST(CAST(o_orderdate AS DATE) + CAST(l_partkey % 15 AS INTEGER) AS TIMESTAMP) AS reported_at,
-    ['collision', 'theft', 'water_damage', 'bodily_injury', 'property_damage'][l_linenumber % 5 + 1] AS claim_type,
+    ['hail', 'burst_pipe', 'rear_end', 'break_in', 'lightning'][l_linenumber % 5 + 1] AS claim_type,
     {_STATE.format('l_suppkey')} AS state,
     l_extendedprice AS reserve_amount,
     CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(18,2)) * 10 AS DOUBLE) AS paid_amount,
     ['open', 'investigating', 'approved', 'denied', 'closed'][l_partkey % 5 + 1] AS status,
-    'adj-' || lpad(CAST(l_suppkey % 40 AS VARCHAR), 3, '0') AS adjuster_id,
+    'desk-' || CAST(l_suppkey % 23 AS VARCHAR) AS adjuster_id,
     l_suppkey % 5 + 1 AS severity,
-    ['portal', 'mobile', 'call_center', 'partner_api'][l_suppkey % 4 + 1] AS source_system,
+    ['letter', 'branch', 'agent', 'partner_api'][l_suppkey % 4 + 1] AS source_system,
     l_returnflag
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
@@ -71,7 +71,7 @@ CTES["ev_payment"] = """
     'pmt-' || l_orderkey || '-' || l_linenumber AS payment_id, CAST(l_orderkey AS VARCHAR) AS claim_id,
     CAST(l_shipdate AS DATE) AS payment_date,
     CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(18,2)) * 100 AS DOUBLE) AS amount,
-    ['indemnity', 'expense', 'medical', 'repair'][l_linenumber % 4 + 1] AS payment_type,
+    ['advance', 'rest', 'fee', 'refund'][l_linenumber % 4 + 1] AS payment_type,
     'Payee ' || l_suppkey AS payee_name,
     CASE l_returnflag WHEN 'R' THEN 'void' WHEN 'A' THEN 'cleared' ELSE 'issued' END AS payment_status
   FROM lineitem"""
@@ -404,6 +404,19 @@ def statements() -> dict[str, str]:
             count(*) FILTER (WHERE event_type = 'error') AS bad FROM events),
             (SELECT unnest([1, 2]) AS run)""",
     }
+    finals["rerun_replaces"] = """SELECT 'policy' AS entity, CAST(ts AS DATE) AS event_date, count(*) AS events
+          FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15' GROUP BY ALL
+          UNION ALL SELECT 'dead letters', NULL, 0"""
+    finals["stored_dead_letters"] = """SELECT CASE f WHEN 'json' THEN 'JSONDecodeError' WHEN 'utf8' THEN 'UnicodeDecodeError'
+            ELSE 'ValidationError' END AS error_class,
+          CASE f WHEN 'contract' THEN 'customer_id' ELSE '' END AS fields,
+          f = 'utf8' AS has_bytes, true AS has_text, count(*) AS events
+          FROM (SELECT ['contract', 'json', 'utf8'][user_id % 3 + 1] AS f FROM events WHERE event_type = 'error')
+          GROUP BY ALL"""
+    finals["backfill_twice"] = """SELECT run, CASE run WHEN 1 THEN n ELSE 0 END AS accepted,
+          CASE run WHEN 2 THEN n ELSE 0 END AS duplicates, n AS stored
+          FROM (SELECT count(*) AS n FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-15'),
+          (SELECT unnest([1, 2]) AS run)"""
     finals["stream_ingest"] = finals["bronze_partitions"]
     finals["stored_fact"] = finals["claims_kpis"]
     return {name: sql(final) for name, final in finals.items()}

@@ -35,7 +35,7 @@ _FIRST_INSTANT, _LAST_INSTANT = -62_135_596_800.0, 253_402_300_800.0  # years 1
 _DAY_MICROS = 86_400_000_000
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
 
@@ -74,7 +74,7 @@ def number(t: Column, s: Column) -> Column:
 
     return (
         F.when(_is_numeric(t), s.try_cast("double"))
-        .when(t == "STRING", _let(_trim(s), spelled))
+        .when(t == "STRING", let(_trim(s), spelled))
         .when(t == "BOOLEAN", F.when(s == "true", 1.0).otherwise(0.0))
     )
 
@@ -89,15 +89,15 @@ def whole(t: Column, s: Column) -> Column:
 
     return (
         F.when(t == "BIGINT", s.try_cast("bigint"))
-        .when(_is_numeric(t), _let(s.try_cast("double"), integral))
-        .when(t == "STRING", _let(_trim(s), spelled))
+        .when(_is_numeric(t), let(s.try_cast("double"), integral))
+        .when(t == "STRING", let(_trim(s), spelled))
         .when(t == "BOOLEAN", F.when(s == "true", 1).otherwise(0).cast("bigint"))
     )
 
 
 def _epoch(x: Column) -> Column:
     seconds = F.when(F.abs(x) > _MILLIS_FROM, x / 1000).otherwise(x)
-    return _let(
+    return let(
         seconds,
         lambda n: F.when(
             (n >= _FIRST_INSTANT) & (n < _LAST_INSTANT),
@@ -145,8 +145,8 @@ def _wall(s: Column) -> Column:
             w["offset"].alias("offset"),
         )
 
-    found = F.when(s.rlike(_INSTANT_TEXT), _let(_let(_parts(s), read), exists))
-    return _let(found, lambda w: F.when(w["at"].isNotNull(), w))
+    found = F.when(s.rlike(_INSTANT_TEXT), let(let(_parts(s), read), exists))
+    return let(found, lambda w: F.when(w["at"].isNotNull(), w))
 
 
 def _offset_minutes(o: Column) -> Column:
@@ -193,8 +193,8 @@ def instant(t: Column, s: Column) -> Column:
         )
 
     return F.coalesce(
-        _let(F.when(t == "STRING", _wall(s)), from_wall),
-        _let(_epoch(_epoch_number(t, s)), from_epoch),
+        let(F.when(t == "STRING", _wall(s)), from_wall),
+        let(_epoch(_epoch_number(t, s)), from_epoch),
     )
 
 
@@ -208,4 +208,4 @@ def day(t: Column, s: Column) -> Column:
 
     real = s.rlike(_DAY_TEXT) & ~s.startswith("0000") & s.try_cast("date").isNotNull()
     other = F.coalesce(F.when(t == "STRING", _wall(s))["at"], _epoch(_epoch_number(t, s)))
-    return F.coalesce(F.when((t == "STRING") & real, s), _let(other, midnight))
+    return F.coalesce(F.when((t == "STRING") & real, s), let(other, midnight))

@@ -30,6 +30,10 @@ class Lake:
     def batch_metrics(self) -> str:
         return self._at("batch_metrics")
 
+    @property
+    def batch_inputs(self) -> str:
+        return self._at("batch_inputs")
+
     @property
     def runs(self) -> str:
         return self._at("warehouse/runs")

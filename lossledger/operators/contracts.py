@@ -108,6 +108,20 @@ def _all_usual_times() -> Column:
     return usual
 
 
+def _own_payload() -> Column:
+    """The payload is that of the entity which the event type names.
+
+    A usual payload has all fields of one entity, so one field that only this entity has tells.
+    """
+    entity = F.split_part(F.col("_usual.event_type"), F.lit("."), F.lit(1))
+    own = F.lit(True)
+    for name, fields in schemas.PAYLOADS.items():
+        others = {f.name for e, more in schemas.PAYLOADS.items() if e != name for f in more}
+        mark = next(f.name for f in fields if f.name not in others)
+        own = F.when(entity == name, F.col(f"_usual.payload.{mark}").isNotNull()).otherwise(own)
+    return own
+
+
 def _from_usual(field: Field) -> Column:
     value = _usual_value(field)
     if field.kind == DAY:
@@ -130,8 +144,12 @@ def _document(value: Column) -> Column:
     """
     stamp = F.xxhash64(value).cast("string")
     pair = F.try_parse_json(F.concat(F.lit("["), value, F.lit(',"'), stamp, F.lit('"]')))
-    whole = F.try_variant_get(pair, "$[1]", "string") == stamp
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def first(pair: Column) -> Column:
+        whole = F.try_variant_get(pair, "$[1]", "string") == stamp
+        return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+    return variants.let(pair, first)
 
 
 def parse(records: DataFrame) -> DataFrame:
@@ -153,7 +171,7 @@ def _typed(records: DataFrame) -> DataFrame:
             "_known", F.coalesce(_document_signature(document).rlike(_usual_signature()), F.lit(False))
         )
         .withColumn("_usual", F.when(F.col("_known"), F.try_variant_get(document, "$", _struct_type())))
-        .withColumn("_is_usual", F.col("_known") & _all_usual_times())
+        .withColumn("_is_usual", F.col("_known") & _own_payload() & _all_usual_times())
         .withColumn("_envelope", F.when(~F.col("_is_usual"), variants.members(document)))
         .withColumn("_payload", variants.members(F.try_element_at("_envelope", F.lit("payload"))))
     )

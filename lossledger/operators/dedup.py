@@ -52,9 +52,8 @@ def flag_known(batch: DataFrame, known: DataFrame, fits: bool, flag: str = "is_k
     hits = known.select("event_id", F.lit(True).alias(flag))
     if fits:  # `known` is a subset of the batch's ids
         hits = F.broadcast(hits)
-    return batch.join(hits, "event_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
-
-
-def unseen(batch: DataFrame, ledger_ids: DataFrame) -> DataFrame:
-    """Rows of a batch whose event id the ledger does not hold; copies inside the batch stay."""
-    return batch.join(ledger_ids.select("event_id"), "event_id", "left_anti")
+        return batch.join(hits, "event_id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    # Rows without an id can't be known; a shuffle would gather all of them in one task.
+    without = batch.where("event_id is null").withColumn(flag, F.lit(False))
+    named = batch.where("event_id is not null").join(hits, "event_id", "left")
+    return named.withColumn(flag, F.coalesce(flag, F.lit(False))).unionByName(without)

@@ -12,7 +12,13 @@ from lossledger import schemas
 from lossledger.lake import Lake
 from lossledger.plans import gold, quality, silver
 from lossledger.session import configure
-from lossledger.sinks.tables import publish_run, register_views, write_report, write_table
+from lossledger.sinks.tables import (
+    publish_run,
+    register_tables,
+    register_views,
+    write_report,
+    write_table,
+)
 from lossledger.sources.bronze import read_entity
 from lossledger.sources.records import line_count
 
@@ -94,4 +100,5 @@ def run_pipeline(
     if status != "pass":
         raise quality.QualityGateError(f"service-level checks failed in run {run_id}: see {path}")
     publish_run(spark, lake, run_id)
+    register_tables(spark, lake, run_id, TABLES)
     return RunReport(run_id, True, failed, status)

@@ -9,6 +9,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Largest amount that the decimal(18,2) of the models surely holds.
+MAX_AMOUNT = 9e15
+
 TEXT, NUMBER, WHOLE, DAY, INSTANT, OBJECT = "text", "number", "whole", "day", "instant", "object"
 
 
@@ -68,9 +71,9 @@ PAYLOADS: dict[str, tuple[Field, ...]] = {
         Field("state", min_len=2, max_len=2),
         Field("effective_date", DAY),
         Field("expiration_date", DAY),
-        Field("annual_premium", NUMBER, above=0),
-        Field("coverage_limit", NUMBER, above=0),
-        Field("deductible", NUMBER, at_least=0),
+        Field("annual_premium", NUMBER, above=0, at_most=MAX_AMOUNT),
+        Field("coverage_limit", NUMBER, above=0, at_most=MAX_AMOUNT),
+        Field("deductible", NUMBER, at_least=0, at_most=MAX_AMOUNT),
         Field("status", choices=POLICY_STATUSES),
     ),
     "claim": (
@@ -82,8 +85,8 @@ PAYLOADS: dict[str, tuple[Field, ...]] = {
         Field("reported_at", INSTANT),
         Field("claim_type"),
         Field("state", min_len=2, max_len=2),
-        Field("reserve_amount", NUMBER, at_least=0),
-        Field("paid_amount", NUMBER, at_least=0),
+        Field("reserve_amount", NUMBER, at_least=0, at_most=MAX_AMOUNT),
+        Field("paid_amount", NUMBER, at_least=0, at_most=MAX_AMOUNT),
         Field("status", choices=CLAIM_STATUSES),
         Field("adjuster_id"),
         Field("severity", WHOLE, at_least=1, at_most=5),
@@ -93,7 +96,7 @@ PAYLOADS: dict[str, tuple[Field, ...]] = {
         Field("payment_id"),
         Field("claim_id"),
         Field("payment_date", DAY),
-        Field("amount", NUMBER, above=0),
+        Field("amount", NUMBER, above=0, at_most=MAX_AMOUNT),
         Field("payment_type"),
         Field("payee_name", pii=True),
         Field("payment_status"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lossledger.sources.kafka import topics
 
-# Producer settings: no duplicates from retries, all replicas acknowledge, small linger.
+# Fixed values, producer settings: no duplicates from retries, all replicas acknowledge, small linger.
 PRODUCER_OPTIONS = {
     "kafka.enable.idempotence": "true",
     "kafka.acks": "all",
@@ -36,11 +36,12 @@ def to_messages(events: DataFrame, prefix: str) -> DataFrame:
 
 def publish(events: DataFrame, servers: str, prefix: str) -> int:
     """Send every event; returns how many were sent."""
-    messages = to_messages(events, prefix)
+    sent = Observation("sent")
+    messages = to_messages(events, prefix).observe(sent, F.count("*").alias("n"))
     (
         messages.write.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .options(**PRODUCER_OPTIONS)
         .save()
     )
-    return messages.count()
+    return sent.get["n"]

@@ -60,19 +60,26 @@ def from_column(df: DataFrame, column: str, position: Column | None = None) -> D
 def records_between(records: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Records with start <= occurred_at < end.
 
-    Lines without a readable, zoned `occurred_at` are kept as well, so that the ingest
-    quarantines them with a reason instead of the replay failing or losing them.
+    Lines without a readable, zoned `occurred_at` belong to no range: the first ingest has
+    quarantined them, and a replay must not do so again on each run (see `unreadable`).
     """
     if start.tzinfo is None or end.tzinfo is None:
         raise ValueError("start and end need a time zone")
     if start >= end:
         raise ValueError("start must be earlier than end")
+    inside = (F.col("_time.at") >= F.lit(start)) & (F.col("_time.at") < F.lit(end))
+    return _timed(records).where(F.col("_time.aware") & inside).select(*records.columns)
+
+
+def unreadable(records: DataFrame) -> DataFrame:
+    """Records without a readable, zoned `occurred_at`: what no replayed range contains."""
+    return _timed(records).where(F.col("_time").isNull() | ~F.col("_time.aware")).select(*records.columns)
+
+
+def _timed(records: DataFrame) -> DataFrame:
     cell = F.try_variant_get("_document", "$.occurred_at", "variant")
     timed = parse(records).withColumn("_cell", F.when(cell.isNotNull(), variants.cell(cell)))
-    timed = timed.withColumn("_time", variants.instant(F.col("_cell.type"), F.col("_cell.text")))
-    unreadable = F.col("_time").isNull() | ~F.col("_time.aware")
-    inside = (F.col("_time.at") >= F.lit(start)) & (F.col("_time.at") < F.lit(end))
-    return timed.where(unreadable | inside).select(*records.columns)
+    return timed.withColumn("_time", variants.instant(F.col("_cell.type"), F.col("_cell.text")))
 
 
 def read_archive(spark: SparkSession, path: str, start: datetime, end: datetime) -> DataFrame:

@@ -39,6 +39,11 @@ def _positioned(batch: DataFrame) -> DataFrame:
     )
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps for a query in its checkpoint."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
 def start_ingest(
     records: DataFrame,
     lake: Lake,
@@ -52,15 +57,17 @@ def start_ingest(
 ) -> StreamingQuery:
     """Run the ingest on a stream of records (`lines_stream` or `sources.kafka.read_stream`).
 
-    Offsets are committed after the batch is stored, so a crash replays the batch; its id is
-    the query name and batch number, so the replay replaces what was stored. There is no
-    watermark: late events are stored like all others and Silver orders by event time.
+    Offsets are committed after the batch is stored, so a crash replays the batch. Its id holds
+    the query's own id, which lives in the checkpoint: a replay replaces what was stored, and a
+    stream that starts over with a new checkpoint can't touch the batches of the old one. There
+    is no watermark: late events are stored like all others and Silver orders by event time.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = configure(batch.sparkSession)
         tokens = Tokenizer.create(spark, key, allow_development_key=allow_development_key)
-        ingest_batch(spark, _positioned(batch), lake, f"stream-{name}-{number}", tokens, **options)
+        batch_id = f"stream-{name}-{_query_id(spark, checkpoint)}-{number}"
+        ingest_batch(spark, _positioned(batch), lake, batch_id, tokens, **options)
 
     writer = records.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(store)
     if available_now:

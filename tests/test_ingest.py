@@ -94,7 +94,7 @@ def test_lines_keep_blank_rows_and_order(spark, tmp_path):
     assert records.line_count(spark, str(tmp_path / "absent")) == 0
 
 
-def test_backfill_range_is_half_open_and_keeps_unreadable_lines(spark, lake, tokens, tmp_path):
+def test_backfill_range_is_half_open_and_leaves_unreadable_lines(spark, lake, tokens, tmp_path):
     times = ["2025-01-01T00:00:00Z", "2024-12-31T23:59:59Z", "2025-01-02T00:00:00Z", "2025-01-01T23:30:00-02:00"]
     rows = [event("payment", f"event-{i:04}", envelope={"occurred_at": t}) for i, t in enumerate(times)]
     rows.append(event("payment", "event-naive", envelope={"occurred_at": "2025-01-01T00:00:00"}))
@@ -103,8 +103,9 @@ def test_backfill_range_is_half_open_and_keeps_unreadable_lines(spark, lake, tok
     start, end = datetime(2025, 1, 1, tzinfo=UTC), datetime(2025, 1, 2, tzinfo=UTC)
     first = ingest.backfill(spark, str(path), start, end, lake, tokens)
     again = ingest.backfill(spark, str(path), start, end, lake, tokens)
-    assert (first.accepted, first.rejected, first.duplicates) == (1, 2, 0)
-    assert (again.accepted, again.rejected, again.duplicates) == (0, 2, 1)
+    assert (first.accepted, first.rejected, first.duplicates) == (1, 0, 0)
+    assert (again.accepted, again.rejected, again.duplicates) == (0, 0, 1)
+    assert records.unreadable(records.read_lines(spark, str(path))).count() == 2
     with pytest.raises(ValueError, match="earlier"):
         ingest.backfill(spark, str(path), end, start, lake, tokens)
 
@@ -139,6 +140,31 @@ def test_stream_equals_batch_and_skips_ids_of_earlier_micro_batches(spark, tmp_p
         return sorted(r[0] for r in bronze.envelopes(spark, lake.bronze).select("event_id").collect())
 
     assert ids(streamed) == ids(batched) == ["event-0001", "event-0002", "event-0003", "event-0003"]
-    metrics = {r["batch_id"]: r for r in spark.read.parquet(streamed.batch_metrics).collect()}
-    assert (metrics["stream-t-0"]["accepted"], metrics["stream-t-0"]["rejected"]) == (2, 1)
-    assert (metrics["stream-t-1"]["accepted"], metrics["stream-t-1"]["duplicates"]) == (2, 1)
+    metrics = {r["batch_id"][-1]: r for r in spark.read.parquet(streamed.batch_metrics).collect()}
+    assert (metrics["0"]["accepted"], metrics["0"]["rejected"]) == (2, 1)
+    assert (metrics["1"]["accepted"], metrics["1"]["duplicates"]) == (2, 1)
+
+
+def test_a_new_checkpoint_keeps_what_the_old_one_stored(spark, lake, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in (1, 2):
+        (source / f"{i}.ndjson").write_text(json.dumps(event("policy", f"event-000{i}")) + "\n")
+        if i == 2:
+            (source / "1.ndjson").unlink()
+        stream = lines_stream(spark, str(source), 1)
+        start_ingest(stream, lake, b"test-key", str(tmp_path / f"c{i}"), name="t", available_now=True).awaitTermination()
+    assert sorted(r[0] for r in bronze.envelopes(spark, lake.bronze).select("event_id").collect()) == ["event-0001", "event-0002"]
+
+
+def test_a_used_batch_id_refuses_another_input_unless_told(spark, lake, tokens):
+    day = {"occurred_at": "2025-04-02T00:00:00Z"}
+    run(spark, lake, tokens, "b1", event("policy"), event("claim", "event-0002", envelope=day), "{")
+    with pytest.raises(ingest.BatchConflictError):
+        run(spark, lake, tokens, "b1", event("policy", "event-0003"))
+    assert bronze.envelopes(spark, lake.bronze).count() == 2
+    rows = lines(spark, event("policy", "event-0003", envelope=day))
+    result = ingest.ingest_batch(spark, rows, lake, "b1", tokens, replace=True)
+    assert (result.accepted, result.files_written) == (1, 1)
+    assert [r[0] for r in bronze.envelopes(spark, lake.bronze).select("event_id").collect()] == ["event-0003"]
+    assert read_dead_letters(spark, lake.dead_letters).count() == 0

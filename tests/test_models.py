@@ -36,7 +36,7 @@ def expected_token(value: str, key: bytes = b"test-key") -> str:
 
 
 def test_tokens_equal_hmac_and_ignore_case_and_outer_space(spark):
-    values = ["Person@Example.com", " person@example.com ", "", "　Ärger \x1c", "a\nb\n"]
+    values = ["Robin.Q@Mail.Example", " robin.q@mail.example ", "", "　Ärger \x1c", "a\nb\n"]
     for key in (b"test-key", b"k" * 64, b"long" * 40):
         tokens = Tokenizer.create(spark, key)
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
