@@ -11,6 +11,10 @@ keys and types in one comparison; the lenient rules run only for the other recor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,22 +163,42 @@ def parse(records: DataFrame) -> DataFrame:
     )
 
 
+_BUILT: dict[tuple, Any] = {}
+
+
+def _once(key: tuple, build: Callable[[], Any]) -> Any:
+    """Columns built once for each driver; they name columns, so they fit every batch.
+
+    Building them takes thousands of calls into the driver's JVM, which would be the larger part
+    of a small micro-batch.
+    """
+    slot = (id(SparkContext._gateway), *key)
+    if slot not in _BUILT:
+        _BUILT[slot] = build()
+    return _BUILT[slot]
+
+
 def _typed(records: DataFrame) -> DataFrame:
     """Add a typed column per field, null when absent or of another type.
 
     Also `_is_usual`, and for the other records the members of envelope and payload.
     """
+    typed = settled(parse(records))
+    for step in _once(("typed",), _typing_steps):
+        typed = typed.withColumns(step)
+    return typed.drop("_known", "_usual", "_lenient")
+
+
+def _typing_steps() -> list[dict[str, Column]]:
+    """The columns that `_typed` adds, each step on top of the ones before."""
     document = F.col("_document")
-    parsed = (
-        settled(parse(records))
-        .withColumn(
-            "_known", F.coalesce(_document_signature(document).rlike(_usual_signature()), F.lit(False))
-        )
-        .withColumn("_usual", F.when(F.col("_known"), F.try_variant_get(document, "$", _struct_type())))
-        .withColumn("_is_usual", F.col("_known") & _own_payload() & _all_usual_times())
-        .withColumn("_envelope", F.when(~F.col("_is_usual"), variants.members(document)))
-        .withColumn("_payload", variants.members(F.try_element_at("_envelope", F.lit("payload"))))
-    )
+    steps = [
+        {"_known": F.coalesce(_document_signature(document).rlike(_usual_signature()), F.lit(False))},
+        {"_usual": F.when(F.col("_known"), F.try_variant_get(document, "$", _struct_type()))},
+        {"_is_usual": F.col("_known") & _own_payload() & _all_usual_times()},
+        {"_envelope": F.when(~F.col("_is_usual"), variants.members(document))},
+        {"_payload": variants.members(F.try_element_at("_envelope", F.lit("payload")))},
+    ]
 
     def named(fields: list[Field], name: Column) -> Column:
         return name.isin([f.name for f in fields])
@@ -183,17 +207,15 @@ def _typed(records: DataFrame) -> DataFrame:
     inner = F.map_filter("_payload", lambda k, v: named(PAYLOAD_FIELDS, k))
     members = F.when(F.col("_payload").isNull(), outer).otherwise(F.map_concat(outer, inner))
     cells = F.transform_values(members, lambda k, v: variants.cell(v))
-    parsed = parsed.withColumn("_cells", F.when(F.col("_envelope").isNotNull(), cells))
+    steps.append({"_cells": F.when(F.col("_envelope").isNotNull(), cells)})
 
     def lenient(kind: str) -> Column:
         of_kind = [f for f in SCALAR_FIELDS if f.kind == kind]
         chosen = F.map_filter("_cells", lambda k, v: named(of_kind, k))
         return F.transform_values(chosen, lambda k, c: _TYPING[kind](c["type"], c["text"])).alias(kind)
 
-    parsed = parsed.withColumn(
-        "_lenient", F.when(F.col("_cells").isNotNull(), F.struct(*map(lenient, _TYPING)))
-    )
-    typed = parsed.withColumns(
+    steps.append({"_lenient": F.when(F.col("_cells").isNotNull(), F.struct(*map(lenient, _TYPING)))})
+    steps.append(
         {
             f"_{f.name}": F.when(F.col("_is_usual"), _from_usual(f)).otherwise(
                 F.try_element_at(F.col("_lenient")[f.kind], F.lit(f.name))
@@ -201,7 +223,7 @@ def _typed(records: DataFrame) -> DataFrame:
             for f in SCALAR_FIELDS
         }
     )
-    return typed.drop("_known", "_usual", "_lenient")
+    return steps
 
 
 def _violation(field: Field) -> str:
@@ -300,7 +322,17 @@ def check(
     """
     if mode not in (LAX, STRICT):
         raise ValueError(f"mode must be {LAX!r} or {STRICT!r}, not {mode!r}")
-    strict = mode == STRICT
+    envelope_errors, entity, payload_errors, stored = _once(
+        ("check", mode, default_producer), lambda: _check_columns(mode == STRICT, default_producer)
+    )
+    events = settled(_typed(records)).withColumn("envelope_errors", envelope_errors).withColumn("entity", entity)
+    # Settled before columns are renamed: constraint inference tries every mix of old and new names.
+    events = settled(events.withColumn("payload_errors", payload_errors))
+    return settled(events.select(*records.columns, *stored))
+
+
+def _check_columns(strict: bool, default_producer: str) -> tuple[Column, Column, Column, list[Column]]:
+    """Envelope errors, entity, payload errors, and the columns that `check` gives."""
     usual = F.col("_is_usual")
     is_object = usual | F.col("_envelope").isNotNull()
 
@@ -311,19 +343,16 @@ def check(
         .otherwise("not a valid object"),
     )
     keys = F.array_except(F.map_keys("_envelope"), F.array(F.lit("payload")))
-    events = settled(_typed(records)).withColumn(
-        "envelope_errors",
+    envelope_errors = (
         F.when(~F.col("_decoded"), _only("not UTF-8"))
         .when(F.col("_document").isNull(), _only("not a JSON document"))
         .when(~is_object, _only("not a JSON object"))
         .otherwise(
             _errors(ENVELOPE_FIELDS, keys, strict, payload_form, *(_strict_rules() if strict else []))
-        ),
+        )
     )
     valid = F.size("envelope_errors") == 0
-    events = events.withColumn(
-        "entity", F.when(valid, F.split_part(F.col("_event_type"), F.lit("."), F.lit(1)))
-    )
+    entity_of = F.when(valid, F.split_part(F.col("_event_type"), F.lit("."), F.lit(1)))
     found = F.when(F.lit(False), F.col("envelope_errors"))
     for entity, contract in schemas.PAYLOADS.items():
         errors = _errors(list(contract), F.map_keys("_payload"), strict=True)
@@ -340,11 +369,8 @@ def check(
             value = value["iso"]
         return (F.lower(value) if field.email else value).alias(field.name)
 
-    # Settled before columns are renamed: constraint inference tries every mix of old and new names.
-    events = settled(events.withColumn("payload_errors", found))
-    checked = events.select(
-        *records.columns,
-        "envelope_errors",
+    return envelope_errors, entity_of, found, [
+        F.col("envelope_errors"),
         F.when(~F.col("_decoded"), DECODE_ERROR)
         .when(F.col("_document").isNull(), JSON_ERROR)
         .when(~valid, CONTRACT_ERROR)
@@ -358,10 +384,9 @@ def check(
         F.col("_occurred_at.at").alias("occurred_at"),
         defaulted("producer", F.lit(default_producer)),
         F.col("_correlation_id").alias("correlation_id"),
-        "entity",
+        F.col("entity"),
         *map(stored, PAYLOAD_FIELDS),
-    )
-    return settled(checked)
+    ]
 
 
 def classify(checked: DataFrame, is_known: Column) -> DataFrame:

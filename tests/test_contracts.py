@@ -6,6 +6,7 @@ import pytest
 from conftest import event, lines
 from pyspark.sql import functions as F
 
+from lossledger import schemas
 from lossledger.operators import contracts
 
 
@@ -115,7 +116,8 @@ def test_lenient_numbers(spark):
     values = [*NUMBERS, True, 7]
     rows = judge(spark, *[event("payment", f"event-{i:04}", amount=v) for i, v in enumerate(values)])
     assert [r["amount"] for r in rows] == [*NUMBERS.values(), 1.0, 7.0]
-    assert [r["outcome"] == contracts.ACCEPTED for r in rows] == [r["amount"] is not None for r in rows]
+    fits = [r["amount"] is not None and r["amount"] <= schemas.MAX_AMOUNT for r in rows]
+    assert [r["outcome"] == contracts.ACCEPTED for r in rows] == fits
 
 
 WHOLES = {"3": 3, " 3 ": 3, "+3": 3, "3.0": 3, "03": 3, "3.00": 3, "1e0": None, "3.": None, "3.5": None, "": None}
@@ -203,3 +205,17 @@ def test_payload_columns_survive_classification(spark):
     rows = tagged.orderBy("source_pos").collect()
     assert [r["status"] for r in rows] == ["open", "active"]
     assert len(tagged.columns) == len(set(tagged.columns))
+
+
+def test_payload_of_another_entity_is_named_however_it_is_spelled(spark):
+    usual = {**event("policy"), "event_type": "payment.issued"}
+    text = {**event("policy", annual_premium="12"), "event_type": "payment.issued"}
+    first, second = judge(spark, usual, text)
+    assert first["reason"] == second["reason"]
+    assert "payment_id: missing" in first["reason"] and "premium: unknown field" in first["reason"]
+
+
+@pytest.mark.parametrize("amount", [1e30, 9.1e15, "inf"])
+def test_amounts_beyond_the_models_decimals_are_rejected(spark, amount):
+    [row] = judge(spark, event("claim", reserve_amount=amount))
+    assert row["outcome"] == contracts.REJECTED and "reserve_amount" in row["reason"]
