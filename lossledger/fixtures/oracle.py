@@ -6,6 +6,7 @@ fixture mapping and the Silver model independently of the Spark code.
 
 from __future__ import annotations
 
+from lossledger import schemas
 from lossledger.functions.tokens import DEVELOPMENT_KEY, pads
 from lossledger.operators.rates import LATENCY_BOUNDS
 
@@ -404,6 +405,21 @@ def statements() -> dict[str, str]:
             count(*) FILTER (WHERE event_type = 'error') AS bad FROM events),
             (SELECT unnest([1, 2]) AS run)""",
     }
+    finals["bronze_entities"] = """SELECT CASE event_type WHEN 'click' THEN 'policy' WHEN 'purchase' THEN 'payment'
+            ELSE 'claim' END AS entity,
+          CASE event_type WHEN 'click' THEN 'policy.created' WHEN 'purchase' THEN 'payment.issued'
+            WHEN 'view' THEN 'claim.opened' ELSE 'claim.updated' END AS event_type,
+          CAST(1 AS BIGINT) AS event_version, 'DEFAULT_PRODUCER' AS producer, count(*) AS events, min(ts) AS first_at
+          FROM events WHERE event_type <> 'error' GROUP BY ALL""".replace("DEFAULT_PRODUCER", schemas.DEFAULT_PRODUCER)
+    finals["batch_throughput"] = """SELECT count(*) AS source_rows,
+          round(count(*) FILTER (WHERE event_type <> 'error') / count(*), 4) AS accepted_share FROM events"""
+    finals["contract_strict_feed"] = """SELECT 'rejected' AS status,
+          CASE WHEN event_type = 'error' THEN ['ValidationError', 'JSONDecodeError', 'UnicodeDecodeError'][user_id % 3 + 1]
+            ELSE 'ValidationError' END AS error_class, CAST(NULL AS VARCHAR) AS entity, count(*) AS events
+          FROM events GROUP BY ALL"""
+    finals["archive_lines"] = """SELECT 'stored' AS archive, count(*) AS lines FROM raw
+          UNION ALL SELECT 'absent', 0"""
+    finals["published_kpis"] = f"""SELECT *, unnest(['name', 'log']) AS reader FROM ({finals['claims_kpis']})"""
     finals["rerun_replaces"] = """SELECT 'policy' AS entity, CAST(ts AS DATE) AS event_date, count(*) AS events
           FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-15' GROUP BY ALL
           UNION ALL SELECT 'dead letters', NULL, 0"""

@@ -15,12 +15,14 @@ from lossledger.functions.tokens import Tokenizer
 from lossledger.lake import Lake
 from lossledger.operators import checks, contracts, dedup
 from lossledger.plans import gold, ingest, monitoring, quality, serving, silver
-from lossledger.plans.pipeline import build_run
+from lossledger.plans.pipeline import TABLES, build_run
 from lossledger.session import configure, shared_dir
 from lossledger.sinks.bronze import read_dead_letters
 from lossledger.sinks.kafka import to_messages
+from lossledger.sinks.tables import publish_run, register_tables
 from lossledger.sources import bronze as bronze_source
 from lossledger.sources import records as record_source
+from lossledger.sources.tables import read_table
 from lossledger.streaming.ingest import lines_stream, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -494,10 +496,62 @@ def _partitions(spark: SparkSession, lake: Lake) -> DataFrame:
 @query
 def bronze_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event feed ingested as one batch; Bronze rows per entity and day."""
+    return _partitions(spark, _stored_feed(spark, sf_dir))
+
+
+def _stored_feed(spark: SparkSession, sf_dir: str) -> Lake:
+    """A lake that holds the whole feed, ingested as one batch."""
     lake = Lake(shared_dir(spark, "lake"))
     tokens = Tokenizer.create(spark, allow_development_key=True)
     ingest.ingest_batch(spark, fx.feed_records(spark, sf_dir), lake, "batch-1", tokens)
-    return _partitions(spark, lake)
+    return lake
+
+
+@query
+def bronze_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entity's scan of Bronze, with the defaults of keys that the feed leaves out."""
+    lake = _stored_feed(spark, sf_dir)
+    scans = [
+        bronze_source.read_entity(spark, lake.bronze, e)
+        .groupBy("entity", "event_type", "event_version", "producer")
+        .agg(F.count("*").alias("events"), F.min("occurred_at").alias("first_at"))
+        for e in schemas.ENTITIES
+    ]
+    return scans[0].unionByName(scans[1]).unionByName(scans[2])
+
+
+@query
+def batch_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and accepted share of a stored batch."""
+    metrics = spark.read.parquet(_stored_feed(spark, sf_dir).batch_metrics)
+    return monitoring.throughput(metrics).select("source_rows", "accepted_share")
+
+
+@query
+def contract_strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed under the strict envelope, which has no defaults for the keys that it leaves out."""
+    checked = contracts.check(fx.feed_records(spark, sf_dir), mode=contracts.STRICT)
+    return _split_counts(contracts.classify(checked, F.lit(False)))
+
+
+@query
+def archive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a stored archive and of one that isn't there."""
+    path = _stored_lines(spark, sf_dir)
+    counted = [(name, record_source.line_count(spark, at)) for name, at in (("stored", path), ("absent", path + "-none"))]
+    return spark.createDataFrame(counted, "archive string, lines bigint")
+
+
+@query
+def published_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPIs read by their published name and through the log of published runs."""
+    lake = Lake(shared_dir(spark, "lake"))
+    bronze = {entity: fx.bronze(spark, sf_dir, entity) for entity in schemas.ENTITIES}
+    build_run(lake, "run-1", bronze)
+    publish_run(spark, lake, "run-1")
+    register_tables(spark, lake, "run-1", TABLES)
+    by_name = spark.table("gold.claims_kpis").withColumn("reader", F.lit("name"))
+    return by_name.unionByName(read_table(spark, lake, "gold", "claims_kpis").withColumn("reader", F.lit("log")))
 
 
 @query
@@ -519,9 +573,7 @@ def rerun_replaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stored_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed's rejects read back from the dead letters: class, named fields, and whether the text is whole."""
-    lake = Lake(shared_dir(spark, "lake"))
-    tokens = Tokenizer.create(spark, allow_development_key=True)
-    ingest.ingest_batch(spark, fx.feed_records(spark, sf_dir), lake, "batch-1", tokens)
+    lake = _stored_feed(spark, sf_dir)
     letters = read_dead_letters(spark, lake.dead_letters)
     return letters.groupBy(
         "error_class",
