@@ -20,11 +20,13 @@ from lossledger.llm import (
     token_shards,
 )
 from lossledger.llm.common import table
+from lossledger.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
