@@ -44,11 +44,12 @@ def with_next_instant(
     `weigh` is the frame whose row counts decide which keys are heavy; passing the raw table
     avoids counting the result of an expensive plan.
     """
-    heavy = F.broadcast(heavy_keys(df if weigh is None else weigh, key, share, min_rows))
-
-    light = df.join(heavy, key, "left_anti").withColumn(
-        out, F.lead(at).over(Window.partitionBy(key).orderBy(at, tie))
-    )
+    found = heavy_keys(df if weigh is None else weigh, key, share, min_rows)
+    following = F.lead(at).over(Window.partitionBy(key).orderBy(at, tie))
+    if not found.take(1):  # every key fits in a task, so the frame is read once
+        return df.withColumn(out, following)
+    heavy = F.broadcast(found)
+    light = df.join(heavy, key, "left_anti").withColumn(out, following)
 
     dense = df.join(heavy, key, "left_semi")
     instants = dense.groupBy(key, at).agg(F.max(tie).alias("_last"))

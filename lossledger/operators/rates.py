@@ -49,17 +49,23 @@ def quantile_from_buckets(q: float, bounds: tuple[float, ...], counts: list[Colu
 
 
 def sliding_latency(
-    df: DataFrame, at: str, seconds: str, q: float = 0.95, minutes: int = RANGE_MINUTES
+    df: DataFrame,
+    at: str,
+    seconds: str,
+    q: float = 0.95,
+    minutes: int = RANGE_MINUTES,
+    bounds: tuple[float, ...] = LATENCY_BOUNDS,
 ) -> DataFrame:
     """Quantile of batch latency over the `minutes` before each full minute.
 
-    Only bucket counts are kept per minute, so any number of batches merges exactly.
+    Only bucket counts are kept per minute, so any number of batches merges exactly. A quantile
+    never exceeds the last of `bounds`: choose them above the batch times to be expected.
     """
-    names = [f"_le_{i}" for i in range(len(LATENCY_BOUNDS))]
-    buckets = [F.count_if(F.col(seconds) <= b).alias(n) for b, n in zip(LATENCY_BOUNDS, names, strict=True)]
+    names = [f"_le_{i}" for i in range(len(bounds))]
+    buckets = [F.count_if(F.col(seconds) <= b).alias(n) for b, n in zip(bounds, names, strict=True)]
     per_minute = df.groupBy(F.date_trunc("minute", at).alias("_minute")).agg(*buckets, F.count(seconds).alias("batches"))
     ranges = _over_range(per_minute, [], [*names, "batches"], minutes)
     counts = [F.col(n) for n in [*names, "batches"]]
     return ranges.select(
-        "range_end", "batches", quantile_from_buckets(q, LATENCY_BOUNDS, counts).alias("latency_seconds")
+        "range_end", "batches", quantile_from_buckets(q, bounds, counts).alias("latency_seconds")
     )
