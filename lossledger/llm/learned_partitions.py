@@ -9,7 +9,8 @@ double precision, with all rows filed there. `visits` is the least number that r
 
 Parts are read in blocks: a cell is a block of rows and a block of queries of one part, so a part
 that holds a third of all rows (a very common vector) is spread over tasks, and no task depends
-on the size of the table. Only the best `k` of a query leave a cell.
+on the size of the table. A query's most probable part is searched first; from the cells of the
+others only rows that reach its k-th best score leave, `k` at most.
 
 Defined results: rows without an id, and vectors that are null, zero, of another length than
 most, or hold a null or a non-finite number, take no part; rows that share an id count as one,
@@ -215,7 +216,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = filed.where(F.pmod("vec_id", F.lit(every)) == 0)
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "parts")
     sizes = filed.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
-    routed = asked.select("query_id", "q", F.explode("parts").alias("part"))
+    routed = asked.select("query_id", "q", F.posexplode("parts").alias("visit", "part"))
     loads = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
     grid = F.broadcast(scratch.store(sizes.join(loads, "part"), "grid"))  # at most MAX_PARTS rows
 
@@ -223,9 +224,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     held = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(grid, "part")
     held = held.select("part", own_block("vec_id", "row_blocks").alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "v")
-    routed = routed.join(grid, "part")
-    routed = routed.select("part", every_block("row_blocks").alias("rb"), own_block("query_id", "query_blocks").alias("qb"), "query_id", "q")
-
     def cell(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(candidates) and len(queries):
@@ -233,19 +231,37 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
             order = np.argsort(ids, kind="stable")
             ids, c = ids[order], np.stack(candidates["v"].to_numpy())[order]
             names, q = queries["query_id"].to_numpy(), np.stack(queries["q"].to_numpy())
+            bounds = queries["bound"].to_numpy()
             for lo in range(0, len(q), 256):
                 scores = q[lo : lo + 256] @ c.T
-                for name, s in zip(names[lo : lo + 256], scores, strict=True):
+                for name, bound, s in zip(names[lo : lo + 256], bounds[lo : lo + 256], scores, strict=True):
                     s[ids == name] = -np.inf
-                    edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    near = np.flatnonzero((s >= edge) & (s > -np.inf))
+                    near = np.flatnonzero((s >= bound) & (s > -np.inf))
+                    if len(near) > k:
+                        near = near[s[near] >= np.partition(s[near], len(near) - k)[len(near) - k]]
                     near = near[np.argsort(-s[near], kind="stable")[:k]]  # ids ascend, so ties do
                     found.append((np.full(len(near), name), ids[near], s[near]))
         parts = [np.concatenate(x) for x in zip(*found, strict=True)]
         return pd.DataFrame({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
 
     key = ["part", "rb", "qb"]
-    near = held.groupBy(*key).cogroup(routed.groupBy(*key)).applyInPandas(cell, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def compare(asked: DataFrame) -> DataFrame:
+        cells = asked.join(grid, "part").select(
+            "part", every_block("row_blocks").alias("rb"), own_block("query_id", "query_blocks").alias("qb"), "query_id", "q", "bound"
+        )
+        return held.groupBy(*key).cogroup(cells.groupBy(*key)).applyInPandas(cell, "query_id long, vec_id long, score double")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    # The most probable part first: its k-th best is a bound for what the other parts may add.
+    below = F.lit(float("-inf"))
+    near = scratch.store(nearest(compare(routed.where("visit = 0").withColumn("bound", below))).drop("rank"), "near")
+    bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    bounds = bounds.withColumnRenamed("query_id", "known")
+    others = routed.where("visit > 0").join(bounds, F.col("query_id") == F.col("known"), "left")
+    more = compare(others.withColumn("bound", F.coalesce("bound", below)))
+    ranked = nearest(near.unionByName(more))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
