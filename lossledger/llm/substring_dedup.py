@@ -175,16 +175,17 @@ def repeated_ranges(scratch: Scratch, texts: DataFrame) -> DataFrame:
     suffixes = scratch.store(suffixes, "suffixes")
     repeats = scratch.store(deep_nodes(suffixes), "repeats")
 
-    named = entries.join(owners, ["lead", "hull"])
-    whole = named.where("ord > owner").select("row", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
     listed = repeats.groupBy("lead", "hull").agg(F.collect_list("at").alias("found"))  # at most the run's windows
-    own = named.where("ord = owner").join(listed, ["lead", "hull"])
-    parts = own.select("row", F.explode("found").alias("at"), "start").select(
+    verdicts = scratch.store(owners.join(listed, ["lead", "hull"], "left"), "verdicts")
+    # One join with one row for each hull: a hull in a third of all documents can be split.
+    named = entries.join(verdicts, ["lead", "hull"])
+    whole = named.where("ord > owner").select("row", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"))
+    parts = named.where("ord = owner").select("row", F.explode("found").alias("at"), "start").select(
         "row", (F.col("start") + F.col("at")).alias("start"), F.lit(1).cast("long").alias("length")
     )
     ranges = whole.unionByName(parts).groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("ranges"))
     out = scratch.store(ranges, "ranges")
-    scratch.drop(shared, entries, hulls, suffixes, repeats)
+    scratch.drop(shared, entries, hulls, suffixes, repeats, verdicts)
     return out
 
 
