@@ -48,7 +48,7 @@ SHARD_SCHEMA = (
 #: No pre-token of the byte-level pattern crosses a space that a visible character follows.
 _CUT, _OTHER_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: Pieces that each of two generations remembers, and the longest of them, in characters.
-_KNOWN_MAX, _KNOWN_LENGTH = 400_000, 24
+_KNOWN_MAX, _KNOWN_LENGTH = 500_000, 24
 
 
 class Encoder:
@@ -144,15 +144,15 @@ def build_planes(ids: np.ndarray) -> tuple[list[bytes], list[int], list[bytes]]:
     planes, zeros, ranks = [], [], []
     values = ids.astype(np.uint16)
     for bit in range(BITS - 1, -1, -1):
-        ones = (values >> np.uint16(bit)) & np.uint16(1) != 0
+        ones = (values & np.uint16(1 << bit)).astype(bool)
         planes.append(np.packbits(ones).tobytes())
         padded = np.zeros(-(-len(ones) // BLOCK) * BLOCK, dtype=np.uint8)
         padded[: len(ones)] = ones
         blocks = padded.reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
         ranks.append((np.cumsum(blocks) - blocks).astype("<u4").tobytes())
-        low = values[~ones]
+        low = np.compress(~ones, values)
         zeros.append(len(low))
-        values = np.concatenate([low, values[ones]])
+        values = np.concatenate([low, np.compress(ones, values)])
     return planes, zeros, ranks
 
 
@@ -163,8 +163,8 @@ def decode_planes(n: int, planes: list[bytes]) -> np.ndarray:
         ones = np.unpackbits(np.frombuffer(planes[k], np.uint8), count=n).view(bool)
         before = np.empty(n, dtype=np.uint16)
         low = n - int(np.count_nonzero(ones))
-        before[~ones] = values[:low]
-        before[ones] = values[low:] | np.uint16(1 << (BITS - 1 - k))
+        before[np.flatnonzero(~ones)] = values[:low]
+        before[np.flatnonzero(ones)] = values[low:] | np.uint16(1 << (BITS - 1 - k))
         values = before
     return values
 
