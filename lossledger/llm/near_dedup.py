@@ -6,7 +6,9 @@ whole sequence as one). Equal sets form a class, and one representative of each
 Candidates share a band of their MinHash signature. A band bucket may hold a third of the
 corpus, so its members are not paired with each other: they meet a hub of the bucket, links
 merge them into components, and only buckets that still span several components go on, with
-other hubs and at last with every pair across components. No bucket is capped.
+other hubs and at last with every pair across components. Before that, a member that shares
+too few shingles with all other components together leaves: it can have no link to them, which
+settles the many copies of a text that are just not similar enough. No bucket is capped.
 
 A candidate's signatures are compared a batch at a time. With c agreements among m values and a
 flat prior the similarity is Beta(c+1, m-c+1) distributed; a pair is dropped as soon as the
@@ -48,7 +50,7 @@ HASHES = BANDS * BAND_ROWS
 #: Similarity in percent, signature values in a batch, and the probability of dropping a true pair.
 PERCENT, BATCH, MISS = 75, 20, 1e-7
 #: Rounds with other hubs before all pairs across components are compared.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 _SALTS = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 _ODDS = mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -179,6 +181,18 @@ def _confirm(batches):
             yield part.select(["node", "hub"]).filter(pa.array(linked))
 
 
+def _shingles(batches):
+    """node, comp, text -> a row for each shingle of each set."""
+    for batch in batches:
+        for part in rounds(batch, rows=ROUND_ROWS):
+            key, first = shingle_sets(part.column("text"))
+            size = np.diff(first)
+            node, comp = (np.repeat(part.column(c).to_numpy(), size) for c in ("node", "comp"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(node), pa.array(comp)], ["shingle", "node", "comp"]
+            )
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of the edges (a, b): comp is the smallest node reachable.
 
@@ -240,6 +254,8 @@ class _Search:
             return False
         links = self.verify(pairs)
         self.tried.append(pairs)
+        if not links.take(1):
+            return True
         edges = self.with_comp(self.with_comp(links, "node", "a"), "hub", "b").select("a", "b")
         found = components(self.scratch, edges)
         if self.comps is None:
@@ -253,10 +269,33 @@ class _Search:
         return True
 
     def open_members(self) -> DataFrame:
-        """Members (key, node, n, comp) of the buckets that span several components."""
+        """Members (key, node, n, comp, least) of buckets that span several components.
+
+        `least` is the smallest set of the bucket. Members that can't link to another component
+        are left out, for good, as components only grow together: of a set of n shingles,
+        3 (n + m) / 7 must be shared with a set of m.
+        """
         named = self.with_comp(self.members, "node", "comp")
-        spans = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return self.scratch.store(named.join(spans, "key", "left_semi"), "open")
+        span = self.scratch.store(self._spanning(named), "open")
+        if not span.take(1):
+            return span
+        least = F.greatest(F.min("least"), F.ceil(F.col("n") * PERCENT / 100))
+        nodes = span.groupBy("node", "n", "comp").agg(least.alias("m"))
+        texts = self.details.select("node", "text").join(nodes.select("node", "comp"), "node")
+        shingles = self.scratch.store(texts.mapInArrow(_shingles, "shingle long, node long, comp long"), "shingles")
+        foreign = shingles.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        shared = shingles.join(foreign.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("o"))
+        able = nodes.join(shared, "node").where(F.col("o") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m")))
+        rest = span.drop("least").join(able.select("node"), "node", "left_semi")
+        fewer = self.scratch.store(self._spanning(rest), "open")
+        self.scratch.drop(shingles, span)
+        self.members = fewer.select("key", "node", "n")
+        return fewer
+
+    @staticmethod
+    def _spanning(named: DataFrame) -> DataFrame:
+        keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
+        return named.join(keys.where("lo <> hi").select("key", "least"), "key")
 
 
 def _alike(a: str, b: str) -> F.Column:
@@ -291,16 +330,12 @@ def _decide(scratch: Scratch, texts: DataFrame) -> DataFrame:
     met = (
         members.join(hubs, "key")
         .where(_alike("n", "h.n") & (F.col("node") != F.col("h.node")))
-        .groupBy("node", F.col("h.node").alias("hub"))
-        .agg(F.count("*").alias("bands"))
+        .select("node", F.col("h.node").alias("hub"))
+        .distinct()
     )
-    met = scratch.store(met, "met")
-    # First the hub that shares most bands; the others only where that left two components.
-    best = met.groupBy("node").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub"))
-    if search.advance(best):
-        search.advance(met.select("node", "hub"))
-    for number in range(HUB_ROUNDS):
-        span = search.open_members()
+    search.advance(met)
+    span = search.open_members()
+    for number in range(HUB_ROUNDS if span.take(1) else 0):
         order = F.xxhash64("node", F.lit(number))
         hubs = span.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("h"))
         pairs = (
@@ -311,10 +346,16 @@ def _decide(scratch: Scratch, texts: DataFrame) -> DataFrame:
         )
         if not search.advance(pairs):
             break
-    span = search.open_members()
-    other = span.select("key", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    across = (F.col("node") > F.col("hub")) & (F.col("comp") != F.col("other")) & _alike("n", "m")
-    search.advance(span.join(other, "key").where(across).select("node", "hub").distinct())
+        span = search.open_members()
+    if span.take(1):
+        # A pair that shares several bands is met in the first of them only.
+        keys = span.groupBy("node").agg(F.collect_set("key").alias("keys"))
+        span = scratch.store(span.join(keys, "node"), "open")
+        other = span.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "comp", "keys")))
+        first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
+        across = (F.col("node") > F.col("other_node")) & (F.col("comp") != F.col("other_comp"))
+        pairs = span.join(other, "key").where(across & _alike("n", "other_n") & first)
+        search.advance(pairs.select("node", F.col("other_node").alias("hub")))
 
     named = search.with_comp(classes, "node", "comp")
     roots = named.groupBy("comp").agg(F.min("least").alias("root"))
