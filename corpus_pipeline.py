@@ -22,8 +22,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the counting rules and the n-gram verdict."""
-    return quality_rules.keep_passing(docs, table(spark, sf_dir, "labels"))
+    """Documents that pass the counting rules and the n-gram verdict, learned from all of `documents`."""
+    return quality_rules.keep_passing(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

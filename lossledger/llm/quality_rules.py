@@ -197,7 +197,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "probability")
 
 
-def keep_passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
+def keep_passing(docs: DataFrame, labels: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The documents that stay, with their own columns.
+
+    The model learns from `corpus`, the labelled documents before any were dropped: an earlier
+    filter takes most of those with label 0.
+    """
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    return judge(inner, fit(docs, labels)).where("kept").select("doc.*")
+    return judge(inner, fit(corpus, labels)).where("kept").select("doc.*")
