@@ -88,17 +88,12 @@ def rule_counts(column: pa.Array) -> dict[str, np.ndarray]:
         repeated = np.bincount(word_row[covered], minlength=n)
 
     # Lines: they end at a newline or at the end of the text; those without a word don't count.
-    is_end = np.zeros(len(raw) + 1, dtype=bool)
-    is_end[:-1][raw == 0x0A] = True
-    is_end[offsets[1:]] = True
-    line_ends = np.flatnonzero(is_end)
-    line_starts = np.concatenate(([0], line_ends[:-1] + 1)) if len(line_ends) else line_ends
-    # A text's first line starts at its offset, not behind a newline.
-    row_of = np.searchsorted(offsets[1:], line_ends, side="left")
-    row_of = np.minimum(row_of, max(n - 1, 0))
-    line_starts = np.maximum(np.where(line_starts > line_ends, line_ends, line_starts), 0)
-    before = np.concatenate(([-1], row_of[:-1])) if len(row_of) else row_of
-    line_starts = np.where(row_of != before, offsets[:-1][row_of] if n else 0, line_starts)
+    # Found row by row, so that the texts before it in the batch don't change a text's lines.
+    newlines = np.flatnonzero(raw == 0x0A)
+    line_starts = np.concatenate((offsets[:-1], newlines + 1))
+    row_of = np.concatenate((np.arange(n), np.searchsorted(offsets, newlines, side="right") - 1))
+    after = np.append(newlines, len(raw))[np.searchsorted(newlines, line_starts)]
+    line_ends = np.minimum(after, offsets[1:][row_of])
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends, row_of = line_starts[has_word], line_ends[has_word], row_of[has_word]
     line_keys = span_hashes(sums, line_starts, line_ends) ^ row_salt[row_of] if len(row_of) else np.zeros(0, np.uint64)

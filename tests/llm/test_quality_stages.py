@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import pyarrow as pa
+import test_text_ops as plain
 from lossledger.llm import quality_rules
 from lossledger.llm.common import table
 
@@ -16,3 +18,11 @@ def test_a_document_has_one_verdict_in_the_pipeline_and_alone(spark):
     left = {r.doc_id for r in survivors.collect()}
     staged = {r.doc_id for r in corpus_pipeline.rules_stage(spark, survivors, SF).collect()}
     assert staged == left & alone
+
+
+def test_lines_of_a_text_do_not_depend_on_the_texts_before_it():
+    texts = ["ab", "\nx\nx", "", "\n", None, "\n\ny\n\ny\ny", "z\n", "\nz\nz\n", "\n\n", "", "a b\nc\na b"]
+    want = [plain.plain_counts(t)[3] for t in texts]
+    assert want == [0, 1, 0, 0, 0, 2, 0, 1, 0, 0, 1]
+    assert quality_rules.rule_counts(pa.array(texts))["n_dup_lines"].tolist() == want
+    assert [int(quality_rules.rule_counts(pa.array([t], pa.string()))["n_dup_lines"][0]) for t in texts] == want
