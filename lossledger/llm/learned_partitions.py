@@ -5,7 +5,9 @@ The neighbour graph of a bounded sample is cut into parts of equal size that bre
 from a vector which parts its neighbours lie in. Every row of the table is filed under its most
 probable part; a query visits its `visits` most probable parts and is compared exactly, in
 double precision, with all rows filed there. `visits` is the least number that reaches
-`TARGET` recall on the sample, measured against brute force.
+`TARGET` recall on the rows of the sample that the router did not learn from, as queries and as
+candidates, measured against brute force. A query that finds fewer than `k` rows there visits
+the other parts too.
 
 Parts are read in blocks: a cell is a block of rows and a block of queries of one part, so a part
 that holds a third of all rows (a very common vector) is spread over tasks, and no task depends
@@ -33,8 +35,8 @@ from lossledger.llm.common import Scratch
 SAMPLE, GRAPH, HIDDEN = 8192, 12, 96
 #: Rows for each part (a power of two of parts), and the parts at most.
 PART_ROWS, MAX_PARTS = 1024, 256
-#: Recall wanted on the sample, and the sample queries that measure it.
-TARGET, MEASURED = 0.95, 1024
+#: Recall wanted on the held-out part of the sample, the queries that measure it, and one row held out of so many.
+TARGET, MEASURED, HELD_OUT = 0.95, 1024, 4
 #: Rows and queries of a cell, at most (about).
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
@@ -146,8 +148,10 @@ def _train(x: np.ndarray, target: np.ndarray, epochs: int = 30) -> list[np.ndarr
 
 
 def fit(sample: np.ndarray, rows: int, k: int = 20) -> Router:
-    """A router for a table of `rows` vectors, from a sample of them."""
-    n, d = sample.shape if len(sample) else (0, 1)
+    """A router for a table of `rows` vectors, from a sample of them in an order by chance."""
+    d = sample.shape[1] if len(sample) else 1
+    unseen, sample = sample[: len(sample) // HELD_OUT], sample[len(sample) // HELD_OUT :]
+    n = len(sample)
     parts = 1
     while parts < MAX_PARTS and parts * PART_ROWS < rows and parts * 32 <= n:
         parts *= 2
@@ -161,10 +165,10 @@ def fit(sample: np.ndarray, rows: int, k: int = 20) -> Router:
         np.add.at(target, (np.arange(n), part[graph[:, j]]), 1 / (degree + 1))
     target[np.arange(n), part] += 1 / (degree + 1)
     router = Router(*_train(sample, target), visits=parts)
-    order = router.order(sample)
+    order = router.order(unseen)
     filed = order[:, 0]
-    asked = np.arange(0, n, max(1, n // MEASURED))
-    truth = neighbours(sample[asked], sample, min(k, n - 1), asked)
+    asked = np.arange(0, len(unseen), max(1, len(unseen) // MEASURED))
+    truth = neighbours(unseen[asked], unseen, min(k, len(unseen) - 1), asked)
     place = np.argsort(order[asked], axis=1)  # when a query visits each part
     when = np.take_along_axis(place, filed[truth], axis=1)
     visits = next(v for v in range(1, parts + 1) if (when < v).mean() >= TARGET)
@@ -217,13 +221,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "parts")
     sizes = filed.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
     routed = asked.select("query_id", "q", F.posexplode("parts").alias("visit", "part"))
-    loads = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    grid = F.broadcast(scratch.store(sizes.join(loads, "part"), "grid"))  # at most MAX_PARTS rows
 
     own_block = lambda i, blocks: F.pmod(F.xxhash64(i), F.col(blocks)).cast("int")
     every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    held = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(grid, "part")
-    held = held.select("part", own_block("vec_id", "row_blocks").alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "v")
+
+    def blocks(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Blocks of each part for these queries, and the rows in them."""
+        loads = routed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
+        grid = F.broadcast(scratch.store(sizes.join(loads, "part"), "grid"))  # at most MAX_PARTS rows
+        held = filed.select("vec_id", "v", F.col("parts")[0].alias("part")).join(grid, "part")
+        return grid, held.select(
+            "part", own_block("vec_id", "row_blocks").alias("rb"), every_block("query_blocks").alias("qb"), "vec_id", "v"
+        )
+
     def cell(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(candidates) and len(queries):
@@ -246,7 +256,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     key = ["part", "rb", "qb"]
 
-    def compare(asked: DataFrame) -> DataFrame:
+    def compare(asked: DataFrame, grid: DataFrame, held: DataFrame) -> DataFrame:
         cells = asked.join(grid, "part").select(
             "part", every_block("row_blocks").alias("rb"), own_block("query_id", "query_blocks").alias("qb"), "query_id", "q", "bound"
         )
@@ -258,10 +268,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
 
     # The most probable part first: its k-th best is a bound for what the other parts may add.
     below = F.lit(float("-inf"))
-    near = scratch.store(nearest(compare(routed.where("visit = 0").withColumn("bound", below))).drop("rank"), "near")
+    usual = blocks(routed)
+    near = scratch.store(nearest(compare(routed.where("visit = 0").withColumn("bound", below), *usual)).drop("rank"), "near")
     bounds = near.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
     bounds = bounds.withColumnRenamed("query_id", "known")
     others = routed.where("visit > 0").join(bounds, F.col("query_id") == F.col("known"), "left")
-    more = compare(others.withColumn("bound", F.coalesce("bound", below)))
-    ranked = nearest(near.unionByName(more))
+    more = compare(others.withColumn("bound", F.coalesce("bound", below)), *usual)
+    if router.visits == router.parts:
+        ranked = nearest(near.unionByName(more))
+    else:
+        ranked = scratch.store(nearest(near.unionByName(more)), "ranked")
+        full = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("full"))
+        short = asked.join(full, F.col("query_id") == F.col("full"), "left_anti")
+        unvisited = F.array_except(F.sequence(F.lit(0), F.lit(router.parts - 1)), "parts")
+        rest = scratch.store(short.select("query_id", "q", F.explode(unvisited).alias("part"), below.alias("bound")), "rest")
+        if rest.take(1):
+            ranked = nearest(ranked.drop("rank").unionByName(compare(rest, *blocks(rest))))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
