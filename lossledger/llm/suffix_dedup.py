@@ -1,11 +1,11 @@
-"""Long repeated byte strings found by a logarithmic family of suffix arrays.
-
-Documents come in batches. Each batch gets a sparse suffix array: the suffixes that begin at
-the chosen gram of each run of windows (see `repeats`), in the order of their first bytes'
-fingerprint, stored in sorted buckets. It is merge-scanned against the arrays of all existing
-levels; suffixes that share their lead with another one are long matches. Two levels of
-equal rank merge into one of the next rank, so a suffix is rewritten only log2(batches) times,
-and neither the scans nor the merges shuffle.
+"""Long repeated byte strings found by a logarithmic family of fingerprint tables.
+
+Fingerprints stand in for suffix arrays: there are no positions, no suffix order and no common
+prefix lengths. Documents come in batches. Each batch gets a table of counts by the fingerprint
+of the chosen gram of each run of windows (see `repeats`), stored in sorted buckets. It is joined
+with the tables of all existing levels; a fingerprint found twice may begin a long match. Two
+levels of equal rank merge into one of the next rank, so an entry is rewritten only log2(batches)
+times, and neither the joins nor the merges shuffle.
 
 Matches are then extended exactly: runs of equal hulls repeat as a whole, and the windows of the
 other runs with a repeated lead are compared one by one, by lead and fingerprint (128 bits).
