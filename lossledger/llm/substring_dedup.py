@@ -1,4 +1,4 @@
-"""Repeated stretches of words found with prefix-partitioned suffix trees.
+"""Repeated stretches of words found by grouping their windows, split by prefix; no suffix tree is built.
 
 A stretch of `WIDTH` words is removed from a document when the same words also start in a
 document with a smaller id. Only suffixes that can be part of such a stretch become leaves:
@@ -10,8 +10,9 @@ document with a smaller id. Only suffixes that can be part of such a stretch bec
 3. Suffixes are split into groups by a prefix of variable length: the shortest of `DEPTHS`
    words that has at most `GROUP_ROWS` suffixes, so a group fits in a task's memory. A prefix
    of full depth that is still more frequent is one deep node, and is aggregated instead.
-4. Each group is a subtree: its suffixes in the order of their path. Nodes of depth `WIDTH` are
-   the maximal repeats, and the least document below a node keeps its words.
+4. In each group, equal windows of `WIDTH` words are found by their fingerprint, and the least
+   document of each keeps its words. Suffixes are not ordered and there are no inner nodes, so no
+   repeat is known to be longer than `WIDTH`; longer ones are covered window by window.
 
 Defined results: null is no words, and gives the digest of an empty text; words are judged on
 the input; rows with equal ids are separate documents that neither precedes; null ids come
