@@ -1,10 +1,11 @@
-"""Licence notices in documents, found through a positional index of their rare words.
+"""Licence notices in documents, found by looking up their rare words.
 
-The words of all notices form a small vocabulary, and every word has postings (notice, place).
+The words of all notices form a small sorted vocabulary; no postings are kept.
 One pass counts in how many documents each of these words occurs, which gives its weight, the
 inverse document frequency. Of each notice the words of highest weight are looked up: enough of
-them that no match can do without all. An occurrence and a posting fix where the notice would
-begin; there, the other words' postings are intersected by relative position, and the place
+them that no match can do without all. An occurrence fixes where the notice would begin; there,
+the other words are compared at fixed offsets (a word put in or left out shifts all after it, which
+can lose the match), and the place
 matches when words of at least `SHARE` of the notice's weight stand where they should and each
 mandatory key phrase of the notice stands in full inside the match.
 
