@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lossledger.llm import (
+    conversation_trie,
     learned_partitions,
     licence_scan,
     near_dedup,
@@ -15,9 +16,11 @@ from lossledger.llm import (
     piece_lattice,
     quality_classifier,
     quality_rules,
+    spelling_variants,
     substring_dedup,
     suffix_dedup,
     token_shards,
+    word_lexicon,
 )
 from lossledger.llm.common import table
 from lossledger.llm.oracles import ORACLES
@@ -83,3 +86,19 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return word_lexicon.digests(word_lexicon.encode_documents(table(spark, sf_dir, "documents"), path))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
