@@ -434,5 +434,13 @@ def statements() -> dict[str, str]:
           FROM (SELECT count(*) AS n FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-15'),
           (SELECT unnest([1, 2]) AS run)"""
     finals["stream_ingest"] = finals["bronze_partitions"]
+    # Eight runs of a level become one of the next.
+    finals["ledger_levels"] = """SELECT batch, count(*) FILTER (WHERE event_id % 12 = batch) AS new_ids,
+          count(*) FILTER (WHERE event_id % 12 = batch - 1) AS known_ids,
+          CAST((batch + 1) // 8 + (batch + 1) % 8 AS INTEGER) AS runs
+          FROM events, (SELECT CAST(unnest(range(12)) AS INTEGER) AS batch) GROUP BY batch"""
+    finals["gate_keeps_published"] = """SELECT unnest(['run-1', 'run-2']) AS run, unnest(['pass', 'refused']) AS status,
+          count(*) AS total_claims, CAST(sum(total_incurred) AS DECIMAL(38,2)) AS total_incurred
+          FROM fct_claims_current WHERE line_of_business IS NOT NULL"""
     finals["stored_fact"] = finals["claims_kpis"]
     return {name: sql(final) for name, final in finals.items()}

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from lossledger import schemas
 from lossledger.fixtures import claims as fx
 from lossledger.functions.tokens import Tokenizer
+from lossledger.commits import CommitLog
 from lossledger.lake import Lake
-from lossledger.operators import checks, contracts, dedup
+from lossledger.operators import checks, contracts, dedup, ledger
 from lossledger.plans import gold, ingest, monitoring, quality, serving, silver
-from lossledger.plans.pipeline import TABLES, build_run
+from lossledger.plans.pipeline import TABLES, build_run, run_pipeline
 from lossledger.session import configure, shared_dir
-from lossledger.sinks.bronze import read_dead_letters
+from lossledger.sinks.bronze import read_dead_letters, write_bronze
 from lossledger.sinks.kafka import to_messages
 from lossledger.sinks.tables import publish_run, register_tables
 from lossledger.sources import bronze as bronze_source
@@ -612,6 +613,56 @@ def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logged.select(run_of.alias("run"), "accepted", "rejected", "duplicates")
 
 
+@query
+def ledger_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's ids in twelve batches, each with the ids of the one before: new and known ids, and runs left."""
+    lake = Lake(shared_dir(spark, "lake"))
+    log = CommitLog(spark, lake.bronze)
+    events = fx.table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
+    rows = []
+    for batch in range(12):
+        part = events.where((F.col("key") % 12).isin(batch, batch - 1))
+        new, known = ledger.acknowledge(part.select(F.col("key").cast("string").alias("event_id")), log, lake.ledger, f"b{batch}")
+        rows.append((batch, new, known, len(log.latest().runs)))
+    return spark.createDataFrame(rows, "batch int, new_ids bigint, known_ids bigint, runs int")
+
+
+def _commit_bronze(spark: SparkSession, lake: Lake, frames: dict[str, DataFrame], batch_id: str) -> None:
+    """Put finished Bronze rows into a lake as one commit, filed by year to keep the folders few."""
+    log = CommitLog(spark, lake.bronze)
+    attempt = f"a-{batch_id}"
+    for entity, rows in frames.items():
+        filed = rows.withColumns({"batch_id": F.lit(batch_id), "event_date": F.trunc("event_date", "year")})
+        write_bronze(filed, lake.bronze, entity, attempt)
+    base = log.latest()
+    folders = [{"entity": e, "days": []} for e in frames]
+    if not log.commit(base, runs=list(base.runs), dead=list(base.dead), batch_id=batch_id, attempt=attempt, folders=folders):
+        raise RuntimeError("another writer in a lake of this query's own")
+
+
+@query
+def gate_keeps_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two gated runs: claims of known policies pass; with the claims of unknown ones added, the gate
+    refuses the run, and readers keep the first. Of a policy's events at one instant the last counts."""
+    lake = Lake(shared_dir(spark, "lake"))
+    lines = _stored_lines(spark, sf_dir)
+    bronze = {entity: fx.bronze(spark, sf_dir, entity) for entity in schemas.ENTITIES}
+    last = bronze["policy"].groupBy("policy_id", "occurred_at").agg(F.max("event_id").alias("event_id")).select("event_id")
+    bronze["policy"] = bronze["policy"].join(last, "event_id", "left_semi")
+    sound = bronze["claim"].join(bronze["policy"].select("policy_id").distinct(), "policy_id", "left_semi")
+    unsound = bronze["claim"].join(bronze["policy"].select("policy_id").distinct(), "policy_id", "left_anti")
+    found = []
+    for run, frames in (("run-1", bronze | {"claim": sound}), ("run-2", {"claim": unsound})):
+        _commit_bronze(spark, lake, frames, run)
+        try:
+            status = run_pipeline(spark, lake, source=lines, run_id=run).status
+        except quality.QualityGateError:
+            status = "refused"
+        kpis = read_table(spark, lake, "gold", "claims_kpis").select("total_claims", "total_incurred")
+        found.append(kpis.select(F.lit(run).alias("run"), F.lit(status).alias("status"), "*"))
+    return found[0].unionByName(found[1])
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event feed, undecodable lines too, as a folder of files, ingested by the streaming job."""

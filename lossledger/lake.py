@@ -18,6 +18,10 @@ class Lake:
     def bronze(self) -> str:
         return self._at("bronze")
 
+    @property
+    def ledger(self) -> str:
+        return self._at("ledger")
+
     @property
     def dead_letters(self) -> str:
         return self._at("dead_letters")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lossledger import schemas
-from lossledger.session import path_exists
+from lossledger.commits import CommitLog
 
 _PARTITIONS = [
     T.StructField("entity", T.StringType()),
@@ -16,29 +15,20 @@ _PARTITIONS = [
 ]
 
 
-def _scan(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    if not path_exists(spark, f"{root}/entity=*"):
+def _scan(spark: SparkSession, root: str, schema: T.StructType, entity: str | None = None) -> DataFrame:
+    """The folders that the commits name, of one entity or all."""
+    folders = CommitLog(spark, root).folders(entity)
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(root)
+    return spark.read.schema(schema).option("basePath", root).parquet(*folders).select(*schema.names)
 
 
 def read_entity(spark: SparkSession, root: str, entity: str) -> DataFrame:
-    """One entity. The declared schema merges files by column name without reading footers;
-    the entity filter prunes partitions."""
+    """One entity: only its folders are listed. The declared schema merges files by column name
+    without reading footers."""
     if entity not in schemas.ENTITIES:
         raise ValueError(f"unknown entity {entity!r}")
-    return _scan(spark, root, schemas.bronze_schema(entity)).where(F.col("entity") == entity)
-
-
-def ledger(spark: SparkSession, root: str, except_batch: str | None = None) -> DataFrame:
-    """Event ids acknowledged so far, across entities: one column of Bronze.
-
-    Leaving out the batch that is being written lets a half-written batch be replayed.
-    """
-    ids = _scan(spark, root, T.StructType([T.StructField("event_id", T.StringType()), *_PARTITIONS]))
-    if except_batch is not None:
-        ids = ids.where(F.col("batch_id") != except_batch)
-    return ids.select("event_id")
+    return _scan(spark, root, schemas.bronze_schema(entity), entity)
 
 
 def envelopes(spark: SparkSession, root: str) -> DataFrame:

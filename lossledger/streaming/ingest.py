@@ -63,10 +63,14 @@ def start_ingest(
     is no watermark: late events are stored like all others and Silver orders by event time.
     """
 
+    query_ids: list[str] = []
+
     def store(batch: DataFrame, number: int) -> None:
         spark = configure(batch.sparkSession)
+        if not query_ids:
+            query_ids.append(_query_id(spark, checkpoint))
         tokens = Tokenizer.create(spark, key, allow_development_key=allow_development_key)
-        batch_id = f"stream-{name}-{_query_id(spark, checkpoint)}-{number}"
+        batch_id = f"stream-{name}-{query_ids[0]}-{number}"
         ingest_batch(spark, _positioned(batch), lake, batch_id, tokens, **options)
 
     writer = records.writeStream.queryName(name).option("checkpointLocation", checkpoint).foreachBatch(store)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 import pyarrow.parquet as pq
@@ -9,8 +10,11 @@ import pytest
 from conftest import event, lines
 from pyspark.sql import functions as F
 
+from lossledger import commits
+from lossledger.commits import CommitLog, create_exclusively, read_text
+from lossledger.operators import ledger
 from lossledger.plans import ingest, monitoring
-from lossledger.sinks.bronze import read_dead_letters
+from lossledger.sinks.bronze import read_dead_letters, remove_unused
 from lossledger.sources import bronze, records
 from lossledger.streaming.ingest import lines_stream, start_ingest
 
@@ -24,7 +28,7 @@ def test_second_run_finds_only_duplicates_and_no_clear_personal_data(spark, lake
     second = run(spark, lake, tokens, "b2", event("policy"))
     assert (first.accepted, first.rejected, first.duplicates, first.files_written) == (1, 0, 0, 1)
     assert (second.accepted, second.rejected, second.duplicates, second.files_written) == (0, 0, 1, 0)
-    [path] = glob.glob(f"{lake.bronze}/entity=policy/**/*.parquet", recursive=True)
+    [path] = glob.glob(f"{lake.bronze}/attempt=*/entity=policy/**/*.parquet", recursive=True)
     assert "/event_date=2025-03-01/batch_id=b1/" in path
     names = pq.ParquetFile(path).schema_arrow.names
     assert "customer_name" not in names and "customer_email" not in names
@@ -168,3 +172,87 @@ def test_a_used_batch_id_refuses_another_input_unless_told(spark, lake, tokens):
     assert (result.accepted, result.files_written) == (1, 1)
     assert [r[0] for r in bronze.envelopes(spark, lake.bronze).select("event_id").collect()] == ["event-0003"]
     assert read_dead_letters(spark, lake.dead_letters).count() == 0
+
+
+# --- Commits and the ledger index -------------------------------------------------------------
+
+
+def rows_scanned(df):
+    """Rows that the scans of a collected frame gave, before any filter but that of pages."""
+    df.collect()
+    leaves, total = df._jdf.queryExecution().executedPlan().collectLeaves(), 0
+    for i in range(leaves.size()):
+        total += leaves.apply(i).metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_ledger_lookup_reads_what_the_batch_needs(spark, lake):
+    log = CommitLog(spark, lake.bronze)
+    ids = spark.range(0, 300_000, 1, 4).select(F.format_string("id-%09d", "id").alias("event_id"))
+    assert ledger.acknowledge(ids, log, lake.ledger, "big") == (300_000, 0)
+    few = spark.createDataFrame([(f"id-{i:09}",) for i in (5, 77_777, 299_999, 300_000, 400_000)], "event_id string")
+    found = ledger.lookup(few, lake.ledger, log.latest(), True)
+    assert sorted(r[0] for r in found.collect()) == ["id-000000005", "id-000077777", "id-000299999"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hashes = [r[0] for r in few.select(F.xxhash64("event_id")).collect()]
+        narrow = rows_scanned(ledger.scan(spark, lake.ledger, log.latest()).where(F.col("h").isin(*hashes)))
+        whole = rows_scanned(ledger.scan(spark, lake.ledger, log.latest()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert whole == 300_000 and narrow <= len(hashes) * ledger.PAGE_ROWS
+    assert ledger.acknowledge(few, log, lake.ledger, "few") == (2, 3)
+
+
+def test_runs_merge_geometrically_and_forget_replaced_attempts(spark, lake, monkeypatch):
+    monkeypatch.setattr(ledger, "FAN", 3)
+    log = CommitLog(spark, lake.bronze)
+    for batch in range(10):
+        ids = spark.createDataFrame([(f"id-{i}",) for i in range(batch * 4, batch * 4 + 6)], "event_id string")
+        new, known = ledger.acknowledge(ids, log, lake.ledger, f"b{batch}")
+        assert (new, known) == ((6, 0) if not batch else (4, 2))
+    last = log.latest()
+    assert sorted(r["level"] for r in last.runs) == [0, 2] and sum(r["rows"] for r in last.runs) == 42
+    assert log.last_version() == 10 + 3 + 1
+    assert log.commit(last, runs=list(last.runs), dead=[log.read(1).body["attempt"]], batch_id=None)
+    assert ledger.scan(spark, lake.ledger, log.latest()).count() == 36
+
+
+def test_two_writers_lose_nothing(spark, lake, tokens, monkeypatch):
+    """A second writer commits while the first one writes: the first sees its ids and tries again."""
+    attempts = []
+    write = ingest.write_bronze
+
+    def meanwhile(rows, root, entity, attempt):
+        write(rows, root, entity, attempt)
+        if not attempts:
+            attempts.append(attempt)
+            run(spark, lake, tokens, "other", event("claim", "event-0002"), event("payment", "event-0004"))
+
+    monkeypatch.setattr(ingest, "write_bronze", meanwhile)
+    result = run(spark, lake, tokens, "mine", event("policy"), event("claim", "event-0002"))
+    assert (result.accepted, result.duplicates) == (1, 1)
+    stored = {(r.event_id, r.batch_id) for r in bronze.envelopes(spark, lake.bronze).collect()}
+    assert stored == {("event-0001", "mine"), ("event-0002", "other"), ("event-0004", "other")}
+    assert remove_unused(spark, lake.bronze, lake.ledger) == []
+    gone = remove_unused(spark, lake.bronze, lake.ledger, hours=-1)
+    assert f"attempt={attempts[0]}" in gone and bronze.envelopes(spark, lake.bronze).count() == 3
+
+
+def test_only_one_of_two_gets_a_version(spark, lake):
+    with ThreadPoolExecutor(8) as pool:
+        path = f"{lake.bronze}/_commits/{1:020d}.json"
+        won = list(pool.map(lambda i: create_exclusively(spark, path, f'{{"writer": {i}}}'), range(8)))
+    assert sum(won) == 1 and json.loads(read_text(spark, path)) == {"writer": won.index(True)}
+
+
+def test_checkpoints_hold_the_live_batches(spark, lake, monkeypatch):
+    monkeypatch.setattr(commits, "CHECKPOINT_EVERY", 3)
+    log = CommitLog(spark, lake.bronze)
+    assert log.folders() == [] and log.last_version() == 0
+    for i, batch in enumerate(["a", "b", "a", "c", "b", "d", "d"]):
+        folders = [{"entity": "claim", "days": ["2025-01-01"]}]
+        assert log.commit(log.latest(), runs=[], dead=[], batch_id=batch, attempt=f"a{i}", folders=folders)
+    assert log.attempts() == {"a2", "a3", "a4", "a6"} and log.attempts(2) == {"a0", "a1"}
+    assert log.folders("claim") and log.folders("policy") == []
+    assert not log.commit(log.read(3), runs=[], dead=[], batch_id="e", attempt="late", folders=[])
