@@ -434,6 +434,12 @@ def statements() -> dict[str, str]:
           FROM (SELECT count(*) AS n FROM events WHERE event_type <> 'error' AND ts < TIMESTAMP '2024-01-15'),
           (SELECT unnest([1, 2]) AS run)"""
     finals["stream_ingest"] = finals["bronze_partitions"]
+    finals["history_incremental"] = finals["dim_policy_history"]
+    finals["daily_metrics_delta"] = finals["daily_claim_metrics"]
+    # Cut lines keep their time; lines that aren't UTF-8 can't be read for any range.
+    finals["archive_index"] = """SELECT count(*) AS events, 2 AS days_opened FROM events
+          WHERE ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10 12:00:00'
+            AND NOT (event_type = 'error' AND user_id % 3 > 0)"""
     # Eight runs of a level become one of the next.
     finals["ledger_levels"] = """SELECT batch, count(*) FILTER (WHERE event_id % 12 = batch) AS new_ids,
           count(*) FILTER (WHERE event_id % 12 = batch - 1) AS known_ids,

@@ -15,12 +15,14 @@ from lossledger.functions.tokens import Tokenizer
 from lossledger.commits import CommitLog
 from lossledger.lake import Lake
 from lossledger.operators import checks, contracts, dedup, ledger
-from lossledger.plans import gold, ingest, monitoring, quality, serving, silver
+from lossledger.operators.keyed_state import StateStore
+from lossledger.plans import gold, incremental, ingest, monitoring, quality, serving, silver
 from lossledger.plans.pipeline import TABLES, build_run, run_pipeline
 from lossledger.session import configure, shared_dir
 from lossledger.sinks.bronze import read_dead_letters, write_bronze
 from lossledger.sinks.kafka import to_messages
 from lossledger.sinks.tables import publish_run, register_tables
+from lossledger.sources import archive
 from lossledger.sources import bronze as bronze_source
 from lossledger.sources import records as record_source
 from lossledger.sources.tables import read_table
@@ -204,6 +206,39 @@ def incurred_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.incurred_by_line(gold.daily_claim_metrics(_fact(spark, sf_dir)))
 
 
+# --- Incremental ------------------------------------------------------------------------
+
+
+def _dealt(bronze: DataFrame, batches: int, batch: int) -> DataFrame:
+    """One of several batches, dealt by a hash of the event id: each has late events of all times."""
+    return bronze.where(F.pmod(F.xxhash64("event_id"), F.lit(batches)) == batch)
+
+
+@query
+def history_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy history after five batches out of order, the last of them given twice."""
+    store, raw = StateStore(spark, shared_dir(spark, "state")), fx.bronze(spark, sf_dir, "policy")
+    for batch in (3, 0, 4, 1, 2, 2):
+        incremental.update_history(store, silver.stg_policies(_dealt(raw, 5, batch)), f"b{batch}", buckets=16)
+    return incremental.policy_history(store, _policies(spark, sf_dir), buckets=16)
+
+
+@query
+def daily_metrics_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily metrics after three batches that correct each other's claims, while policies change too."""
+    store = StateStore(spark, shared_dir(spark, "state"))
+    bronze = {entity: fx.bronze(spark, sf_dir, entity) for entity in schemas.ENTITIES}
+    for batch in range(3):
+        claims, payments = (_dealt(bronze[e], 3, batch) for e in ("claim", "payment"))
+        # Until the last batch some policies have not come, and others are older versions.
+        policies = bronze["policy"] if batch == 2 else _dealt(bronze["policy"], 2, 0)
+        current = silver.latest_policy(silver.stg_policies(policies))
+        incremental.update_claims(
+            store, silver.stg_claims(claims), silver.stg_payments(payments), current, f"b{batch}", buckets=16
+        )
+    return incremental.daily_metrics(store)
+
+
 # --- Quality ----------------------------------------------------------------------------
 
 
@@ -454,8 +489,8 @@ def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backfill_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of one year of an archive; unreadable lines are replayed too and rejected."""
     start, end = datetime(1996, 1, 1, tzinfo=UTC), datetime(1997, 1, 1, tzinfo=UTC)
-    archive = record_source.records_between(fx.all_raw_lines(spark, sf_dir), start, end)
-    tagged = contracts.classify(contracts.check(archive), F.lit(False))
+    replayed = record_source.records_between(fx.all_raw_lines(spark, sf_dir), start, end)
+    tagged = contracts.classify(contracts.check(replayed), F.lit(False))
     return (
         tagged.where(F.col("outcome") == contracts.ACCEPTED)
         .groupBy("entity")
@@ -587,13 +622,13 @@ def stored_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def backfill_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two weeks of a stored archive replayed twice: the second run accepts and rejects nothing new."""
-    lake, archive = Lake(shared_dir(spark, "lake")), shared_dir(spark, "archive")
-    fx.feed_records(spark, sf_dir).select("value").write.text(archive)
+    lake, folder = Lake(shared_dir(spark, "lake")), shared_dir(spark, "archive")
+    fx.feed_records(spark, sf_dir).select("value").write.text(folder)
     tokens = Tokenizer.create(spark, allow_development_key=True)
     start, end = datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 15, tzinfo=UTC)
     rows = []
     for run in (1, 2):
-        done = ingest.backfill(spark, archive, start, end, lake, tokens)
+        done = ingest.backfill(spark, folder, start, end, lake, tokens)
         rows.append((run, done.accepted, done.duplicates))
     stored = spark.createDataFrame(rows, "run int, accepted bigint, duplicates bigint")
     events = bronze_source.envelopes(spark, lake.bronze).agg(F.count("*").alias("stored"))
@@ -601,6 +636,21 @@ def backfill_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumn("stored", F.lit(total))
 
 
+@query
+def archive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored archive of one file a day, a day and a half of it by its zone map: files opened, events found."""
+    folder, index = shared_dir(spark, "archive"), shared_dir(spark, "zones")
+    feed = fx.feed_records(spark, sf_dir).select("value")
+    day = F.coalesce(F.regexp_extract("value", r'"occurred_at":"(\d{4}-\d\d-\d\d)', 1), F.lit(""))
+    feed.withColumn("day", day).repartition(8, "day").write.partitionBy("day").text(folder)
+    archive.refresh(spark, folder, index)
+    start, end = datetime(2024, 1, 9, tzinfo=UTC), datetime(2024, 1, 10, 12, tzinfo=UTC)
+    opened = archive.files_between(spark, folder, index, start, end)
+    days = len({name.split("/day=")[1].split("/")[0] for name in opened})
+    found = archive.read_archive(spark, folder, index, start, end)
+    return found.agg(F.count("*").alias("events")).withColumn("days_opened", F.lit(days))
+
+
 @query
 def replay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event feed ingested twice: the second run finds its accepted events in the ledger."""

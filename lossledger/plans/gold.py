@@ -33,7 +33,8 @@ def _total(name: str) -> Column:
     return F.round(F.sum(name), 2).cast(MONEY_TOTAL)
 
 
-def _is_open() -> Column:
+def is_open() -> Column:
+    """Whether a claim is neither closed nor denied."""
     return ~F.col("status").isin(*SETTLED)
 
 
@@ -41,7 +42,7 @@ def claims_kpis(fact: DataFrame) -> DataFrame:
     """One row of headline figures."""
     return fact.agg(
         F.count("*").alias("total_claims"),
-        F.count_if(_is_open()).alias("open_claims"),
+        F.count_if(is_open()).alias("open_claims"),
         _total("total_incurred").alias("total_incurred"),
         _total("paid_amount").alias("total_paid"),
         _total("outstanding_reserve").alias("outstanding_reserve"),
@@ -55,7 +56,7 @@ def daily_claim_metrics(fact: DataFrame) -> DataFrame:
     """Measures per loss date, line and state; claims without a policy form their own line."""
     return fact.groupBy("loss_date", "line_of_business", "state").agg(
         F.count("*").alias("claim_count"),
-        F.count_if(_is_open()).alias("open_claim_count"),
+        F.count_if(is_open()).alias("open_claim_count"),
         _total("paid_amount").alias("paid_amount"),
         _total("outstanding_reserve").alias("outstanding_reserve"),
         _total("total_incurred").alias("total_incurred"),

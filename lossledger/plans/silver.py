@@ -126,6 +126,11 @@ def dim_policy_history(
         share=share,
         min_rows=min_rows,
     )
+    return as_history(versions)
+
+
+def as_history(versions: DataFrame) -> DataFrame:
+    """Staged policy events with the end of their intervals (`valid_to`) as versions."""
     return versions.select(
         _version_key().alias("policy_version_key"),
         *_POLICY_ATTRIBUTES,
@@ -185,21 +190,24 @@ def fct_claims_current(claims: DataFrame, payments: DataFrame, current_policy: D
     policy = current_policy.select("policy_id", "line_of_business", "coverage_limit")
 
     cleared = F.coalesce("cleared_payment_amount", F.lit(0).cast(MONEY_TOTAL))
-    measured = (
-        claim.join(paid, "claim_id", "left")
-        .join(policy, "policy_id", "left")
-        .withColumns(
-            {
-                "cleared_payment_amount": cleared,
-                "payment_count": F.coalesce("payment_count", F.lit(0).cast("bigint")),
-                "paid_amount": F.greatest(F.col("reported_paid_amount").cast(MONEY_TOTAL), cleared),
-                "outstanding_reserve": F.greatest(
-                    (F.col("reserve_amount") - F.col("reported_paid_amount")).cast(MONEY_TOTAL),
-                    F.lit(0).cast(MONEY_TOTAL),
-                ),
-                "reporting_delay_days": F.datediff(F.to_date("reported_at"), "loss_date").cast("bigint"),
-            }
-        )
+    joined = claim.join(paid, "claim_id", "left").join(policy, "policy_id", "left")
+    counted = joined.withColumns(
+        {"cleared_payment_amount": cleared, "payment_count": F.coalesce("payment_count", F.lit(0).cast("bigint"))}
+    )
+    return with_measures(counted.select(*claims.columns, *policy.columns[1:], *paid.columns[1:]))
+
+
+def with_measures(claims: DataFrame) -> DataFrame:
+    """Claims with their policy's line and limit and their payments, and the figures that follow."""
+    measured = claims.withColumns(
+        {
+            "paid_amount": F.greatest(F.col("reported_paid_amount").cast(MONEY_TOTAL), "cleared_payment_amount"),
+            "outstanding_reserve": F.greatest(
+                (F.col("reserve_amount") - F.col("reported_paid_amount")).cast(MONEY_TOTAL),
+                F.lit(0).cast(MONEY_TOTAL),
+            ),
+            "reporting_delay_days": F.datediff(F.to_date("reported_at"), "loss_date").cast("bigint"),
+        }
     )
     half_limit = F.col("coverage_limit") * F.lit(HIGH_RESERVE_SHARE).cast("decimal(2,1)")
     risk = (
@@ -210,10 +218,6 @@ def fct_claims_current(claims: DataFrame, payments: DataFrame, current_policy: D
     )
     return measured.select(
         *claims.columns,
-        "line_of_business",
-        "coverage_limit",
-        "cleared_payment_amount",
-        "payment_count",
         "paid_amount",
         "outstanding_reserve",
         "reporting_delay_days",

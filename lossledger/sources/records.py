@@ -21,8 +21,8 @@ def _position(source: Column, block: Column, row: Column) -> Column:
     )
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the files at `path`, blank ones too, in a batch read.
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line of the files at `path` (or a list of them), blank ones too, in a batch read.
 
     The position is the file, the split inside it and the row inside the task: it grows with
     the line number of a file however the file is split.
@@ -68,15 +68,16 @@ def records_between(records: DataFrame, start: datetime, end: datetime) -> DataF
     if start >= end:
         raise ValueError("start must be earlier than end")
     inside = (F.col("_time.at") >= F.lit(start)) & (F.col("_time.at") < F.lit(end))
-    return _timed(records).where(F.col("_time.aware") & inside).select(*records.columns)
+    return timed(records).where(F.col("_time.aware") & inside).select(*records.columns)
 
 
 def unreadable(records: DataFrame) -> DataFrame:
     """Records without a readable, zoned `occurred_at`: what no replayed range contains."""
-    return _timed(records).where(F.col("_time").isNull() | ~F.col("_time.aware")).select(*records.columns)
+    return timed(records).where(F.col("_time").isNull() | ~F.col("_time.aware")).select(*records.columns)
 
 
-def _timed(records: DataFrame) -> DataFrame:
+def timed(records: DataFrame) -> DataFrame:
+    """Records with `_time`: the instant of `occurred_at` and whether it has a zone; null if unreadable."""
     cell = F.try_variant_get("_document", "$.occurred_at", "variant")
     timed = parse(records).withColumn("_cell", F.when(cell.isNotNull(), variants.cell(cell)))
     return timed.withColumn("_time", variants.instant(F.col("_cell.type"), F.col("_cell.text")))
