@@ -10,17 +10,16 @@ from lossledger import schemas
 from lossledger.functions.tokens import DEVELOPMENT_KEY, pads
 from lossledger.operators.rates import LATENCY_BOUNDS
 
-_INNER, _OUTER = pads(DEVELOPMENT_KEY)
-
 
 def _blob(data: bytes) -> str:
     return "'" + "".join(f"\\x{b:02X}" for b in data) + "'::BLOB"
 
 
-def token(text: str) -> str:
+def token(text: str, key: bytes = DEVELOPMENT_KEY) -> str:
     """The keyed token of a SQL text expression."""
-    inner = f"unhex(sha256({_blob(_INNER)} || encode(lower(trim({text})))))"
-    return f"'tok_' || left(sha256({_blob(_OUTER)} || {inner}), 24)"
+    inner_pad, outer_pad = pads(key)
+    inner = f"unhex(sha256({_blob(inner_pad)} || encode(lower(trim({text})))))"
+    return f"'tok_' || left(sha256({_blob(outer_pad)} || {inner}), 24)"
 
 
 _STATE = "chr(CAST(65 + {0} % 26 AS INTEGER)) || chr(CAST(65 + ({0} * 7) % 26 AS INTEGER))"
@@ -440,6 +439,25 @@ def statements() -> dict[str, str]:
     finals["archive_index"] = """SELECT count(*) AS events, 2 AS days_opened FROM events
           WHERE ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10 12:00:00'
             AND NOT (event_type = 'error' AND user_id % 3 > 0)"""
+    finals["stream_permuted"] = finals["bronze_partitions"]
+    finals["stored_report"] = finals["slo_report"]
+    finals["dq_non_negative_found"] = """SELECT claim_id, CAST(-reserve_amount - 1 AS DECIMAL(18,2)) AS reserve_amount
+          FROM latest_claim WHERE severity = 4"""
+    finals["dq_risk_range_found"] = "SELECT claim_id FROM latest_claim WHERE status = 'denied'"
+    finals["contract_event_types"] = """SELECT CASE WHEN status = 'rejected' OR pos % 7 = 0 THEN 'rejected' ELSE 'accepted' END AS status,
+          CASE WHEN pos % 7 = 0 AND error_class IS NULL THEN 'ValidationError' ELSE error_class END AS error_class,
+          CASE WHEN NOT bad_envelope AND pos % 7 > 0 THEN entity END AS entity, count(*) AS events FROM outcome GROUP BY ALL"""
+    keys = {"environment": b"key of the environment", "given": b"key of the caller", "neither": DEVELOPMENT_KEY}
+    finals["pii_key_lookup"] = " UNION ALL ".join(
+        f"SELECT '{by}' AS key, {token('payee_name', key)} AS token FROM (SELECT DISTINCT payee_name FROM ev_payment)"
+        for by, key in keys.items()
+    )
+    fields = {"policy": ("policy_id", "annual_premium"), "claim": ("claim_id", "reserve_amount"), "payment": ("payment_id", "amount")}
+    finals["kafka_values"] = " UNION ALL ".join(
+        f"""SELECT 'claims.{entity}.events' AS topic, event_id, event_version, occurred_at, producer,
+          {key} AS payload_key, CAST({amount} AS DOUBLE) AS amount FROM ev_{entity}"""
+        for entity, (key, amount) in fields.items()
+    )
     # Eight runs of a level become one of the next.
     finals["ledger_levels"] = """SELECT batch, count(*) FILTER (WHERE event_id % 12 = batch) AS new_ids,
           count(*) FILTER (WHERE event_id % 12 = batch - 1) AS known_ids,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import wraps
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lossledger import schemas
 from lossledger.fixtures import claims as fx
-from lossledger.functions.tokens import Tokenizer
+from lossledger.functions.tokens import KEY_VARIABLE, Tokenizer
 from lossledger.commits import CommitLog
 from lossledger.lake import Lake
 from lossledger.operators import checks, contracts, dedup, ledger
@@ -21,7 +22,7 @@ from lossledger.plans.pipeline import TABLES, build_run, run_pipeline
 from lossledger.session import configure, shared_dir
 from lossledger.sinks.bronze import read_dead_letters, write_bronze
 from lossledger.sinks.kafka import to_messages
-from lossledger.sinks.tables import publish_run, register_tables
+from lossledger.sinks.tables import publish_run, register_tables, write_report
 from lossledger.sources import archive
 from lossledger.sources import bronze as bronze_source
 from lossledger.sources import records as record_source
@@ -274,6 +275,38 @@ def dq_risk_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.outside(_fact(spark, sf_dir), quality.RISK_OUT_OF_RANGE, "claim_id")
 
 
+def _unchecked_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact of claims that no contract has seen: some reserves are negative, some severities too."""
+    severity = F.when(F.col("status") == "denied", F.col("severity") - 9).otherwise(F.col("severity"))
+    reserve = F.when(F.col("severity") == 4, -F.col("reserve_amount") - 1).otherwise(F.col("reserve_amount"))
+    claims = _claims(spark, sf_dir)
+    spoilt = claims.withColumns({"reserve_amount": reserve.cast("decimal(18,2)"), "severity": severity.cast("int")})
+    return silver.fct_claims_current(spoilt, _payments(spark, sf_dir), silver.latest_policy(_policies(spark, sf_dir)))
+
+
+@query
+def dq_non_negative_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.outside(_unchecked_fact(spark, sf_dir), quality.NEGATIVE_MONEY, "claim_id", "reserve_amount")
+
+
+@query
+def dq_risk_range_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.outside(_unchecked_fact(spark, sf_dir), quality.RISK_OUT_OF_RANGE, "claim_id")
+
+
+@query
+def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality report written as JSON and read back, checks and metrics."""
+    counted = _classified(spark, sf_dir).agg(
+        F.count("*").alias("n"), F.count_if(F.col("outcome") == contracts.REJECTED).alias("r")
+    )
+    source, rejected = counted.first()
+    report = quality.slo_report(_fact(spark, sf_dir), F.lit(source), F.lit(rejected))
+    path = shared_dir(spark, "report")
+    write_report(report, path)
+    return spark.read.schema(report.schema).json(path).select("status", "checks.*", "metrics.*")
+
+
 def _built(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Silver and Gold written as a run."""
     bronze = {entity: fx.bronze(spark, sf_dir, entity) for entity in schemas.ENTITIES}
@@ -335,6 +368,15 @@ def contract_strict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split_counts(_classified(spark, sf_dir, contracts.STRICT))
 
 
+@query
+def contract_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, every seventh position with an event type that breaks its pattern."""
+    spoilt = F.regexp_replace("value", r'"event_type":"([a-z]+)[.]', r'"event_type":"$1 ')
+    lines = fx.all_raw_lines(spark, sf_dir)
+    lines = lines.withColumn("value", F.when(F.col("source_pos.row") % 7 == 0, spoilt).otherwise(F.col("value")))
+    return _split_counts(contracts.classify(contracts.check(lines), F.lit(False)))
+
+
 @query
 def dead_letter_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = _classified(spark, sf_dir).where(F.col("outcome") == contracts.REJECTED)
@@ -389,6 +431,23 @@ def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.select(*tokens.protect(people.columns, schemas.PII_FIELDS))
 
 
+@query
+def pii_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payees' tokens by the key of the environment, of the caller, and of neither."""
+    payees = fx.payment_events(spark, sf_dir).select("payee_name").distinct()
+    before = os.environ.get(KEY_VARIABLE)
+    try:
+        os.environ[KEY_VARIABLE] = "key of the environment"
+        found = {"environment": Tokenizer.create(spark), "given": Tokenizer.create(spark, b"key of the caller")}
+        del os.environ[KEY_VARIABLE]
+        found["neither"] = Tokenizer.create(spark, allow_development_key=True)
+    finally:
+        if before is not None:
+            os.environ[KEY_VARIABLE] = before
+    tokens = [payees.select(F.lit(by).alias("key"), t.token(F.col("payee_name")).alias("token")) for by, t in found.items()]
+    return tokens[0].unionByName(tokens[1]).unionByName(tokens[2])
+
+
 @query
 def pii_token_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payees of payments joined by token with suppliers whose names differ in case and spaces."""
@@ -524,6 +583,21 @@ def kafka_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.groupBy("topic", F.col("key").cast("string").alias("key")).agg(F.count("*").alias("messages"))
 
 
+@query
+def kafka_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of all entities read back from their JSON: topic, id, time, producer and two payload fields."""
+    parts = []
+    for entity, (key, amount) in {"policy": ("policy_id", "annual_premium"), "claim": ("claim_id", "reserve_amount"), "payment": ("payment_id", "amount")}.items():
+        events = fx.EVENTS[entity](spark, sf_dir)
+        names = [f.name for f in schemas.PAYLOADS[entity]]
+        messages = to_messages(events.withColumn("payload", F.struct(*names)), "claims")
+        shape = f"event_id string, event_version long, occurred_at timestamp, producer string, payload struct<{key}: string, {amount}: double>"
+        body = F.from_json(F.col("value").cast("string"), shape)
+        read = messages.select("topic", body.alias("v")).select("topic", "v.event_id", "v.event_version", "v.occurred_at", "v.producer", F.col(f"v.payload.{key}").alias("payload_key"), F.col(f"v.payload.{amount}").alias("amount"))
+        parts.append(read)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _partitions(spark: SparkSession, lake: Lake) -> DataFrame:
     stored = bronze_source.envelopes(spark, lake.bronze)
     return stored.groupBy("entity", "event_date").agg(F.count("*").alias("events"))
@@ -732,6 +806,25 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partitions(spark, lake)
 
 
+@query
+def stream_permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed in no order of time, over several micro-batches: late events land where ordered ones do."""
+    lake = Lake(shared_dir(spark, "lake"))
+    source = shared_dir(spark, "feed")
+    fx.feed_records(spark, sf_dir).select("value").repartition(4, F.xxhash64("value")).write.text(source)
+    running = start_ingest(
+        lines_stream(spark, source, max_files=2),
+        lake,
+        None,
+        shared_dir(spark, "checkpoint"),
+        name="permuted",
+        available_now=True,
+        allow_development_key=True,
+    )
+    running.awaitTermination()
+    return _partitions(spark, lake)
+
+
 # --- Monitoring -------------------------------------------------------------------------
 
 
