@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import Scratch, tasks_for
+from lossledger.llm.features import rounds
 
 #: Bits of an id, positions of a rank block, and the tokens that close a shard.
 BITS, BLOCK, SHARD_TOKENS = 16, 512, 1 << 21
@@ -45,18 +47,26 @@ SHARD_SCHEMA = (
 
 # --- Encoding -----------------------------------------------------------------------------
 
-#: No pre-token of the byte-level pattern crosses a space that a visible character follows.
-_CUT, _OTHER_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
-#: Pieces that each of two generations remembers, and the longest of them, in characters.
-_KNOWN_MAX, _KNOWN_LENGTH = 500_000, 24
+#: A space that a visible character follows is where the byte-level pre-tokenizer always cuts. Listed
+#: are characters that are visible to all involved; a cut that is left out only makes a longer piece.
+_VISIBLE = r"!-~¡-¬®-ʯΑ-ωА-я一-龥"
+#: Some letters.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ʯ"
+#: Stands for a cut; a text that holds it is encoded whole.
+_MARK = "\x01"
+#: Pieces that each of two generations remembers, and the longest of them, in bytes of ids.
+_KNOWN_MAX, _KNOWN_BYTES = 400_000, 24
+#: Text encoded together, in bytes.
+SLICE_BYTES = 4 << 20
 
 
 class Encoder:
-    """Token ids by the `tokenizers` library, with frequent pieces of text remembered.
+    """Token ids by the `tokenizers` library, each distinct piece of a batch encoded once.
 
-    A text is cut at each space that a visible character follows, where the byte-level
-    pre-tokenizer always cuts, so the pieces' ids joined are the ids of the whole text. Pieces
-    seen for the first time are encoded together and told apart by the bytes of their tokens.
+    A text is cut before each space that a visible character follows and at two other places
+    where the pre-tokenizer always cuts, so the pieces' ids joined are the ids of the whole text. Arrow cuts and numbers the pieces of a batch; distinct ones that
+    are not remembered are encoded together and told apart by the bytes of their tokens. Texts
+    that hold a special token's string go to the library whole.
     """
 
     _held: dict[str, Encoder] = {}
@@ -65,13 +75,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are plain text
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # byte-level: one character for each byte
-        #: Ids (little-endian uint16) of single marks, and of pieces with the space before them; those used lately and before.
-        self.marks = {m: np.array(self.tokenizer.encode(m).ids, dtype="<u2").tobytes() for m in ".,;:!?"}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.shown = re.compile(f"[{_VISIBLE}]")
+        self.whole = "|".join(re.escape(s) for s in [*added, _MARK])
+        #: Ids (little-endian uint16) of pieces used lately and before.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -82,58 +93,82 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with a space before it."""
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u2").tobytes() for e in found]
+
+    def _learn(self, pieces: list[str], gap: str) -> dict[str, bytes]:
+        """Ids of pieces that begin with a space (no gap), or neither begin nor end with white space (a newline as gap)."""
         out: dict[str, bytes] = {}
         for first in range(0, len(pieces), 20_000):
             some = pieces[first : first + 20_000]
-            ids = self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids
+            text = gap.join(some) + gap
+            ids = self.tokenizer.encode_batch_fast([text + "x" if gap else text], add_special_tokens=False)[0].ids
             ids = np.array(ids, dtype="<u2")
             ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(p.encode()) + 1 for p in some])
+            stops = np.cumsum([len(p.encode()) + len(gap) for p in some])
             cuts = np.searchsorted(ends, stops) + 1
-            if not np.array_equal(ends[cuts - 1], stops):
+            if not np.array_equal(ends[cuts - 1], stops) or (gap and (self.sizes[ids[cuts - 1]] != 1).any()):
                 raise ValueError("a token crosses two pieces: not a byte-level tokenizer of this pattern")
             data, lo = ids.tobytes(), 0
             for piece, hi in zip(some, (2 * cuts).tolist(), strict=True):
-                out[piece] = data[lo:hi]
+                out[piece] = data[lo : hi - 2 * len(gap)]
                 lo = hi
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as uint16."""
-        split = [(_CUT.split(t) if _OTHER_SPACE.search(t) else t.split(" ")) for t in texts]
-        heads = self.tokenizer.encode_batch_fast([p[0] for p in split], add_special_tokens=False)
-        get = self.young.get
-        found = [list(map(get, p)) for p in split]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.young.get, pieces))
         new: dict[str, bytes] = {}
-        missing = {p for pieces, ids in zip(split, found, strict=True) for p, v in zip(pieces[1:], ids[1:], strict=True) if v is None}
-        # A mark behind a letter or digit is a pre-token of its own: "word," is "word" and ",".
-        marked: list[tuple[str, str]] = []
-        learn: set[str] = set()
-        for p in missing:
-            v = self.old.get(p)
-            if v is None and len(p) > 1 and p[-1] in self.marks and p[-2].isalnum():
-                marked.append((p, p[:-1]))
-                p = p[:-1]
-                v = get(p) or self.old.get(p)
-            if v is None:
-                learn.add(p)
-            else:
+        for p, v in zip(pieces, found, strict=True):
+            if v is None and (v := self.old.get(p)) is not None:
                 new[p] = v
-        new |= self._learn(list(learn))
-        for p, stem in marked:
-            new[p] = new[stem] + self.marks[p[-1]]
-        out = []
-        for pieces, ids, head in zip(split, found, heads, strict=True):
-            ids[0] = np.array(head.ids, dtype="<u2").tobytes()
-            if None in ids:
-                ids = [new[p] if v is None else v for p, v in zip(pieces, ids, strict=True)]
-            out.append(np.frombuffer(b"".join(ids), dtype="<u2"))
+        if "" in pieces:
+            new[""] = b""
+        missing = [p for p, v in zip(pieces, found, strict=True) if v is None and p not in new]
+        new |= self._learn([p for p in missing if p[0] == " " and self.shown.match(p, 1)], "")
+        new |= self._learn([p for p in missing if self.shown.match(p) and self.shown.match(p, len(p) - 1)], "\n")
+        others = [p for p in missing if p not in new]
+        new |= zip(others, self._library(others), strict=True)
         if len(self.young) > _KNOWN_MAX:
             self.old, self.young = self.young, {}
-        self.young.update((p, v) for p, v in new.items() if len(p) <= _KNOWN_LENGTH)
-        return out
+        self.young.update((p, v) for p, v in new.items() if len(v) <= _KNOWN_BYTES)
+        return [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+
+    def encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end as uint16, and how many each text has; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        cut = pc.replace_substring_regex(texts, f" ([{_VISIBLE}])", _MARK + r" \1")
+        # A mark behind a letter, and what follows a single newline, begin a pre-token too.
+        cut = pc.replace_substring_regex(cut, f"([{_LETTER}])([.,;:!?])", r"\1" + _MARK + r"\2")
+        cut = pc.replace_substring_regex(cut, f"([{_VISIBLE}])\n([{_VISIBLE}])", "\\1\n" + _MARK + r"\2")
+        if odd.any():
+            cut = pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), cut)
+        lists = pc.split_pattern(cut, _MARK)
+        coded = lists.flatten().dictionary_encode()
+        place, stops = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+        held = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.array([len(v) for v in held], np.int64) // 2
+        ids = np.frombuffer(b"".join(held), dtype="<u2")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[place]
+        before = np.cumsum(n) - n
+        out = ids[np.repeat(begins[place] - before, n) + np.arange(int(n.sum()), dtype=np.int64)]
+        counts = np.diff(np.concatenate([[0], np.cumsum(n)])[stops])
+        if odd.any():
+            whole = dict(zip(np.flatnonzero(odd).tolist(), self._library(texts.filter(pa.array(odd)).to_pylist()), strict=True))
+            parts = np.split(out, np.cumsum(counts)[:-1])
+            parts = [np.frombuffer(whole[i], "<u2") if i in whole else p for i, p in enumerate(parts)]
+            out, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return out, counts
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text as uint16."""
+        if not texts:
+            return []
+        ids, counts = self.encode_slice(pa.array(texts, pa.large_string()))
+        return np.split(ids, np.cumsum(counts)[:-1])
 
 
 # --- The file format ----------------------------------------------------------------------
@@ -238,9 +273,22 @@ class WaveletMatrix:
             i = self._select_bit(k, bit, i - self.zeros[k] if bit else i)
         return i
 
+    def _positions(self, k: int, bit: int) -> np.ndarray:
+        """Positions of all ones or zeros of plane k."""
+        return np.flatnonzero(np.unpackbits(self.planes[k], count=self.n) == bit)
+
     def occurrences(self, token: int) -> list[int]:
-        """All positions of an id."""
-        return [self.select(token, j) for j in range(self.count(token))]
+        """All positions of an id: its range in the last plane, mapped back plane by plane at once."""
+        if not 0 <= token < 1 << BITS:
+            return []
+        lo, hi = self._range(token, 0, self.n)
+        at = np.arange(lo, hi)
+        for k in range(BITS - 1, -1, -1):
+            if not len(at):
+                break
+            bit = token >> (BITS - 1 - k) & 1
+            at = self._positions(k, bit)[at - self.zeros[k] if bit else at]
+        return at.tolist()
 
 
 # --- Spark --------------------------------------------------------------------------------
@@ -273,18 +321,24 @@ def _write_part(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard
         )
         return pa.RecordBatch.from_pydict(row, schema=kinds)
 
-    end = np.array([end_id], dtype=np.uint16)
     total = 0
     for batch in batches:
-        for first in range(0, batch.num_rows, 200):
-            part = batch.slice(first, 200)
-            texts = part.column("text").to_pylist()
+        for part in rounds(batch, limit=SLICE_BYTES):
             state["part"] = part.column("part")[0].as_py()
-            for doc_id, tokens in zip(part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                held.append(np.concatenate([tokens, end]))
-                ids.append(doc_id)
-                counts.append(len(tokens) + 1)
-                total += len(tokens) + 1
+            flat, sizes = encoder.encode_slice(part.column("text"))
+            # Every document with its end id.
+            stops = np.cumsum(sizes)
+            flat, sizes = np.insert(flat, stops, end_id), sizes + 1
+            numbers, lo = part.column("doc_id").to_pylist(), 0
+            ends = stops + np.arange(1, len(sizes) + 1)
+            while lo < len(sizes):
+                start = int(ends[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(ends, start + shard_tokens - total)) + 1, len(sizes))
+                held.append(flat[start : ends[hi - 1]])
+                ids.extend(numbers[lo:hi])
+                counts.extend(sizes[lo:hi].tolist())
+                total += int(ends[hi - 1]) - start
+                lo = hi
                 if total >= shard_tokens:
                     yield close()
                     total = 0

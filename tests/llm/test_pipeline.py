@@ -22,7 +22,8 @@ def test_each_stage_on_its_own_input(spark):
 
     good = {r.doc_id for r in quality_classifier.classify(inputs[0], labels).collect() if r.predicted}
     assert {r[0] for r in rows[1]} == good
-    passing = {r.doc_id for r in quality_rules.quality_rules(inputs[1], labels).collect() if r.kept}
+    # The stage judges its own input by what all labelled documents teach.
+    passing = {r.doc_id for r in quality_rules.quality_rules(docs, labels).collect() if r.kept} & good
     assert {r[0] for r in rows[2]} == passing
     firsts = {i for i, _, c in plain.plain_components(rows[2]) if i == c}
     assert {r[0] for r in rows[3]} == firsts

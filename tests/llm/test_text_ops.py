@@ -81,15 +81,13 @@ def by_id(df):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_encoder_is_the_library():
     rnd, plain = random.Random(1), tokenizer()
-    pieces = ["a", "B", " ", "  ", "\n", "\t", "'", "s", "1", ".", ",", "é", "\xa0", "　", "\x1c", "\x85", "日", "<|endoftext|>"]
-    texts = ["", " ", " a", "a   b", "a \n b", "it's 's", "x, y."] + [
+    pieces = ["a", "B", " ", "  ", "\n", "\t", "'", "s", "1", ".", ",", "é", "\xa0", "　", "\x1c", "\x85", "日", "<|endoftext|>", "\x01"]
+    texts = ["", " ", "x <|endoftext|> y", "x  <|endoftext|>  y", " a", "a   b", "a \n b", "it's 's", "x, y."] + [
         "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(800)
     ]
     encoder = token_shards.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
