@@ -458,6 +458,11 @@ def statements() -> dict[str, str]:
           {key} AS payload_key, CAST({amount} AS DOUBLE) AS amount FROM ev_{entity}"""
         for entity, (key, amount) in fields.items()
     )
+    finals["event_rate_restated"] = finals["event_rate_5m"]
+    finals["outcome_counters"] = """SELECT status AS outcome, entity, error_class, count(*) AS "rows" FROM log GROUP BY ALL"""
+    finals["p95_latency_sketch"] = """SELECT range_end, count(*) AS batches, true AS within
+          FROM (SELECT *, unnest(generate_series(1, 5)) AS step FROM log),
+            LATERAL (SELECT date_trunc('minute', ts) + to_minutes(step) AS range_end) GROUP BY range_end"""
     # Eight runs of a level become one of the next.
     finals["ledger_levels"] = """SELECT batch, count(*) FILTER (WHERE event_id % 12 = batch) AS new_ids,
           count(*) FILTER (WHERE event_id % 12 = batch - 1) AS known_ids,

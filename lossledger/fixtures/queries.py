@@ -15,7 +15,7 @@ from lossledger.fixtures import claims as fx
 from lossledger.functions.tokens import KEY_VARIABLE, Tokenizer
 from lossledger.commits import CommitLog
 from lossledger.lake import Lake
-from lossledger.operators import checks, contracts, dedup, ledger
+from lossledger.operators import checks, contracts, dedup, ledger, rates
 from lossledger.operators.keyed_state import StateStore
 from lossledger.plans import gold, incremental, ingest, monitoring, quality, serving, silver
 from lossledger.plans.pipeline import TABLES, build_run, run_pipeline
@@ -856,3 +856,42 @@ def rejected_rate_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p95_batch_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = monitoring.latency_p95(_ingest_log(spark, sf_dir), "ts", "seconds")
     return found.withColumn("latency_seconds", F.round("latency_seconds", 9))
+
+
+@query
+def p95_latency_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of the log, and whether the sketched quantile lies within 2 % of the rank asked for."""
+    log = _ingest_log(spark, sf_dir).select("ts", (F.col("seconds") * 1000).alias("seconds"))  # far above any bucket
+    found = rates.sliding_latency_sketch(log, "ts", "seconds")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(rates.RANGE_MINUTES)))
+    seen = log.select("seconds", F.date_trunc("minute", "ts").alias("minute"), steps.alias("step"))
+    seen = seen.select("seconds", F.timestamp_micros(F.unix_micros("minute") + F.col("step") * 60_000_000).alias("range_end"))
+    ranked = found.join(seen, "range_end").groupBy("range_end", "batches").agg(
+        F.count_if(F.col("seconds") < F.col("latency_seconds")).alias("below"),
+        F.count_if(F.col("seconds") <= F.col("latency_seconds")).alias("upto"),
+    )
+    near = (F.col("below") <= 0.97 * F.col("batches")) & (F.col("upto") >= 0.93 * F.col("batches"))
+    return ranked.select("range_end", "batches", near.alias("within"))
+
+
+@query
+def event_rate_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted rate from four batches of the log in no order of time, one of them given twice."""
+    store = StateStore(spark, shared_dir(spark, "state"))
+    log = _ingest_log(spark, sf_dir).where(F.col("outcome") == contracts.ACCEPTED)
+    part = F.pmod(F.xxhash64("ts"), F.lit(4))
+    for batch in (2, 0, 3, 3, 1):
+        incremental.update_rates(store, log.where(part == batch), "ts", "entity", f"b{batch}")
+    return incremental.published_rates(store, "entity")
+
+
+@query
+def outcome_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters kept over three batches of the log, one of them given twice."""
+    store = StateStore(spark, shared_dir(spark, "state"))
+    log = _ingest_log(spark, sf_dir)
+    for batch in (0, 1, 1, 2):
+        part = log.where(F.pmod(F.xxhash64("ts"), F.lit(3)) == batch)
+        counts = part.groupBy("outcome", "entity", "error_class").agg(F.count("*").alias("rows"))
+        incremental.update_counters(store, counts, f"b{batch}")
+    return incremental.counters(store)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import random
 from datetime import UTC, date, datetime, timedelta
@@ -12,10 +13,11 @@ from conftest import event
 from pyspark.sql import functions as F
 
 from lossledger import schemas
-from lossledger.operators import checks
+from lossledger.operators import checks, rates
 from lossledger.operators.keyed_state import StateStore
-from lossledger.plans import gold, incremental, silver
+from lossledger.plans import gold, incremental, monitoring, silver
 from lossledger.sources import archive, records
+from lossledger.streaming.rates import restating_rate
 
 START = datetime(2025, 1, 1, tzinfo=UTC)
 
@@ -161,3 +163,41 @@ def test_a_replay_opens_only_overlapping_files(spark, tmp_path):
     none = datetime(2030, 1, 1, tzinfo=UTC), datetime(2030, 1, 2, tzinfo=UTC)
     archive.refresh(spark, str(folder), index)
     assert archive.read_archive(spark, str(folder), index, *none).count() == 0
+
+
+# --- Rates and counters -------------------------------------------------------------------------
+
+
+def test_sketch_has_no_ceiling_and_a_bounded_rank_error(spark):
+    rows = spark.range(60_000).select(
+        F.timestamp_seconds(F.col("id") % 120 + 1_700_000_040).alias("at"), F.exp(F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("s")
+    )
+    found = rates.sliding_latency_sketch(rows, "at", "s").orderBy("range_end").collect()
+    bucketed = rates.sliding_latency(rows, "at", "s").orderBy("range_end").collect()
+    assert [r.batches for r in found] == [r.batches for r in bucketed] and len(found) == 6
+    values = sorted(r.s for r in rows.collect())
+    for r in found[1:5]:  # ranges that hold both minutes
+        assert max(b.latency_seconds for b in bucketed) <= 10 < r.latency_seconds
+        assert abs(bisect.bisect(values, r.latency_seconds) / len(values) - 0.95) < 0.02
+    assert rates.sliding_latency_sketch(rows.limit(0), "at", "s").count() == 0
+
+
+def test_restarted_stream_keeps_its_ranges(spark, tmp_path):
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    minutes = [0, 7, 2, 7, 1, 30, 0]
+    for part, some in enumerate((minutes[:3], minutes[3:5], minutes[5:])):  # later files hold earlier times
+        (source / f"{part}.json").write_text("\n".join(json.dumps({"at": f"2025-01-01T23:{m + 20}:30Z", "entity": "claim"}) for m in some))
+        stream = spark.readStream.schema("at timestamp, entity string").json(str(source))
+        restating_rate(stream, state, str(tmp_path / "c"), "at", "entity", name="r", available_now=True).awaitTermination()
+    log = spark.read.schema("at timestamp, entity string").json(str(source))
+    got = incremental.published_rates(StateStore(spark, state), "entity")
+    assert rows_of(got) == rows_of(rates.sliding_rate(log, "at", ["entity"]))
+
+
+def test_counters_add_up_once_a_batch(spark, store):
+    counts = spark.createDataFrame([("accepted", "claim", None, 3), ("rejected", None, "x", 1)], "outcome string, entity string, error_class string, rows long")
+    for batch in ("a", "b", "b"):
+        incremental.update_counters(store, counts, batch)
+    assert {(r.outcome, r.rows) for r in incremental.counters(store).collect()} == {("accepted", 6), ("rejected", 2)}
+    assert monitoring.totals(incremental.counters(store)).first()["accepted"] == 6
