@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lossledger.functions.numbers import MONEY_TOTAL
 from lossledger.plans.gold import by_risk
 
+# The choice that stands for all lines, rows of the attention list, and, below, the columns
+# and limits of each view.
 ALL_LINES = "All"
 ATTENTION_ROWS = 100
 

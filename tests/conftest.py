@@ -42,7 +42,7 @@ PAYLOADS = {
         "policy_id": "p-1",
         "customer_id": "c-1",
         "customer_name": "Robin Example",
-        "customer_email": "Jamie@Example.com",
+        "customer_email": "Robin@Mail.Example",
         "line_of_business": "property",
         "state": "NY",
         "effective_date": "2025-01-01",
@@ -56,7 +56,7 @@ PAYLOADS = {
         "claim_id": "k-1",
         "policy_id": "p-1",
         "claimant_name": "Robin Example",
-        "claimant_email": "jamie@example.com",
+        "claimant_email": "robin@mail.example",
         "loss_date": "2025-02-01",
         "reported_at": "2025-02-03T00:00:00Z",
         "claim_type": "theft",
@@ -64,9 +64,9 @@ PAYLOADS = {
         "reserve_amount": 5000.25,
         "paid_amount": 0,
         "status": "open",
-        "adjuster_id": "adj-001",
+        "adjuster_id": "desk-7",
         "severity": 3,
-        "source_system": "portal",
+        "source_system": "letter",
     },
     "payment": {
         "payment_id": "y-1",

@@ -72,7 +72,7 @@ def test_valid_events_of_every_entity_are_accepted(spark):
     rows = judge(spark, *[event(e, f"event-{e}") for e in ("policy", "claim", "payment")])
     assert [r["outcome"] for r in rows] == [contracts.ACCEPTED] * 3
     assert [r["entity"] for r in rows] == ["policy", "claim", "payment"]
-    assert rows[0]["customer_email"] == "jamie@example.com"
+    assert rows[0]["customer_email"] == "robin@mail.example"
     assert rows[0]["annual_premium"] == 1200.5 and rows[0]["coverage_limit"] == 100000.0
     assert rows[1]["reported_at"] == "2025-02-03T00:00:00+00:00"
     assert rows[1]["severity"] == 3

@@ -135,7 +135,7 @@ def test_stream_equals_batch_and_skips_ids_of_earlier_micro_batches(spark, tmp_p
         text = "\n".join(r if isinstance(r, str) else json.dumps(r) for r in part)
         (source / f"{i}.ndjson").write_text(text + "\n")
         query = start_ingest(
-            lines_stream(spark, str(source), 1), streamed, b"test-key", checkpoint, name="t", available_now=True
+            lines_stream(spark, str(source), 1), streamed, b"a key of the tests", checkpoint, name="t", available_now=True
         )
         query.awaitTermination()
         run(spark, batched, tokens, f"b{i}", *part)
@@ -157,7 +157,7 @@ def test_a_new_checkpoint_keeps_what_the_old_one_stored(spark, lake, tmp_path):
         if i == 2:
             (source / "1.ndjson").unlink()
         stream = lines_stream(spark, str(source), 1)
-        start_ingest(stream, lake, b"test-key", str(tmp_path / f"c{i}"), name="t", available_now=True).awaitTermination()
+        start_ingest(stream, lake, b"a key of the tests", str(tmp_path / f"c{i}"), name="t", available_now=True).awaitTermination()
     assert sorted(r[0] for r in bronze.envelopes(spark, lake.bronze).select("event_id").collect()) == ["event-0001", "event-0002"]
 
 
