@@ -13,6 +13,7 @@ The base phrases go the same way with all of their words mandatory, so every pla
 
 Defined results: a null text is empty; documents without words, or without a match, have empty
 labels, null places and score 0. Each row is judged by its text alone; matches don't cross rows.
+An empty table gives no rows; a text is scanned whole, however long, one task holding it.
 """
 
 from __future__ import annotations

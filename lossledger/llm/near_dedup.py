@@ -18,6 +18,7 @@ sets of both texts.
 Defined results: null and empty texts (and texts without words) have an empty set, link with
 nothing and stay; rows that share an id, or have none, are documents of their own, and their
 component's id is the smallest id in it (null only where no member has an id).
+An empty table gives no rows; a text is compared whole, however long, one task holding it.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ Defined results: a null text counts as empty; an empty text, and one without any
 the sample, gets the sample's share of label 1; without labelled rows every score is 0.5.
 Each row is scored by its text alone, so repeated rows and null ids keep their place; other
 columns are carried along by `score` and may have any name but those it adds.
+An empty table gives no rows; a text is scored whole, however long, one task holding it.
 """
 
 from __future__ import annotations

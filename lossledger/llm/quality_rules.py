@@ -8,6 +8,7 @@ of that sample it was not fitted on, and compared with a fixed threshold.
 Defined results: a null or empty text has no words and fails the rules; rows are judged by
 their text alone, so repeated rows and null ids keep their place; without labelled rows (or
 with one label only) the verdict is left to the rules.
+An empty table gives no rows; a text is judged whole, however long, one task holding it.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ document with a smaller id. Only suffixes that can be part of such a stretch bec
 Defined results: null is no words, and gives the digest of an empty text; words are judged on
 the input; rows with equal ids are separate documents that neither precedes; null ids come
 after all others. Texts of fewer than `WIDTH` words stay whole.
+An empty table gives no rows; a text is compared whole, however long, one task holding it.
 """
 
 from __future__ import annotations

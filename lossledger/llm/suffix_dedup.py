@@ -15,6 +15,7 @@ Removed is every byte covered by a string of `WIDTH` bytes that also starts anyw
 on the input. Defined results: null is empty; texts shorter than `WIDTH` bytes stay whole; rows
 that share an id, or have none, are documents of their own. Cutting bytes may split a code
 point: `remove_repeats` gives bytes, and `strip_documents` leaves out what isn't UTF-8 any more.
+An empty table gives no rows; a text is compared whole, however long, one task holding it.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ shard at the first document end past `SHARD_TOKENS`. A shard is one row of a Par
 decoding; `read_tokens` decodes whole shards plane by plane. Ids must be below 2**BITS.
 
 Defined results: a null text is empty and holds the end id only; rows that share an id follow
-each other by a hash of their text; null ids come first; an empty table writes no shard.
+each other by a hash of their text; null ids come first; an empty table writes no shard;
+a shard holds its last document whole, however long.
 """
 
 from __future__ import annotations
