@@ -5,10 +5,12 @@ whole sequence as one). Equal sets form a class, and one representative of each
 
 Candidates share a band of their MinHash signature. A band bucket may hold a third of the
 corpus, so its members are not paired with each other: they meet a hub of the bucket, links
-merge them into components, and only buckets that still span several components go on, with
-other hubs and at last with every pair across components. Before that, a member that shares
-too few shingles with all other components together leaves: it can have no link to them, which
-settles the many copies of a text that are just not similar enough. No bucket is capped.
+merge them into components, and only buckets that still span several components go on. There a
+member that shares too few shingles with all other components together leaves: it can have no
+link to them. The others meet a second hub, the set that most of a family's shingles come from,
+and what they may still link shares shingles outside that hub (`_Search.remainders` says why).
+So the many copies of a text that are just not similar enough are settled by one comparison
+each. No bucket is capped.
 
 A candidate's signatures are compared a batch at a time. With c agreements among m values and a
 flat prior the similarity is Beta(c+1, m-c+1) distributed; a pair is dropped as soon as the
@@ -50,8 +52,8 @@ BANDS, BAND_ROWS = 40, 5
 HASHES = BANDS * BAND_ROWS
 #: Similarity in percent, signature values in a batch, and the probability of dropping a true pair.
 PERCENT, BATCH, MISS = 75, 20, 1e-7
-#: Rounds with other hubs before all pairs across components are compared.
-HUB_ROUNDS = 1
+#: Pairs a row of a bucket may take before the bucket gets another hub.
+PAIRS = 16
 
 _SALTS = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 _ODDS = mix(np.arange(5001, 5001 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -225,6 +227,7 @@ class _Search:
         self.scratch, self.members, self.details = scratch, members, details
         self.tried: list[DataFrame] = []
         self.comps: DataFrame | None = None
+        self.foreign: DataFrame | None = None
 
     def with_comp(self, df: DataFrame, column: str, name: str) -> DataFrame:
         if self.comps is None:
@@ -270,11 +273,12 @@ class _Search:
         return True
 
     def open_members(self) -> DataFrame:
-        """Members (key, node, n, comp, least) of buckets that span several components.
+        """Members (key, node, n, comp, least, share, fame) of buckets that span several components.
 
-        `least` is the smallest set of the bucket. Members that can't link to another component
-        are left out, for good, as components only grow together: of a set of n shingles,
-        3 (n + m) / 7 must be shared with a set of m.
+        `least` is the smallest set of the bucket, `share` the part of a set that other components
+        have too, `fame` how often. Members that can't link to another component are left out, for
+        good, as components only grow together: of a set of n shingles, 3 (n + m) / 7 must be
+        shared with a set of m. `foreign` keeps those shingles by node.
         """
         named = self.with_comp(self.members, "node", "comp")
         span = self.scratch.store(self._spanning(named), "open")
@@ -284,15 +288,71 @@ class _Search:
         nodes = span.groupBy("node", "n", "comp").agg(least.alias("m"))
         texts = self.details.select("node", "text").join(nodes.select("node", "comp"), "node")
         shingles = self.scratch.store(texts.mapInArrow(_shingles, "shingle long, node long, comp long"), "shingles")
-        foreign = shingles.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        shared = shingles.join(foreign.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("o"))
-        able = nodes.join(shared, "node").where(F.col("o") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m")))
-        rest = span.drop("least").join(able.select("node"), "node", "left_semi")
+        spread = shingles.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df"))
+        shared = shingles.join(spread.where("lo <> hi").select("shingle", "df"), "shingle").groupBy("node")
+        # A set fits into a task, as its text does.
+        held = shared.agg(F.count("*").alias("o"), F.sum("df").alias("fame"), F.collect_list("shingle").alias("shingles"))
+        able = nodes.join(held, "node").where(F.col("o") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("m")))
+        able = able.select("node", (F.col("o") / F.col("n")).alias("share"), "fame", "shingles")
+        self.foreign = self.scratch.store(able, "foreign")
+        rest = span.drop("least").join(self.foreign.select("node", "share", "fame"), "node")
         fewer = self.scratch.store(self._spanning(rest), "open")
         self.scratch.drop(shingles, span)
         self.members = fewer.select("key", "node", "n")
         return fewer
 
+    def centred(self, span: DataFrame) -> DataFrame:
+        """(hub, hub_n, node, n, comp): every bucket's members met a hub, which need not be one of them.
+
+        The hub is a set most of which others have too: the text that copies were made from, where
+        it is there. Buckets take the best hub that any member has in another bucket, so the
+        buckets of one family of texts share a hub and become one group.
+        """
+        own = span.groupBy("key").agg(F.max(F.struct("share", "fame", "n", "node")).alias("h"))
+        best = span.join(own, "key").groupBy("node").agg(F.max("h").alias("h"))
+        hubs = span.join(best, "node").groupBy("key").agg(F.max("h").alias("h"))
+        groups = span.join(hubs, "key").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
+        groups = self.scratch.store(groups, "groups")
+        pairs = groups.where(_alike("n", "hub_n") & (F.col("node") != F.col("hub"))).select("node", "hub")
+        self.advance(pairs)
+        return self.with_comp(self.with_comp(groups, "node", "comp"), "hub", "hub_comp")
+
+    def remainders(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What a group may still link: sets that share shingles outside the hub, and small sets.
+
+        Let sets A and B of different components have met hub H. One of them, say B, has no link
+        to H: 7 |B & H| < 3 (|B| + |H|). A link of A and B needs 7 |A & B| >= 3 (|A| + |B|). If
+        all they share lies in H, |A & B| <= |B & H|, so A is smaller than H. All other links
+        share shingles outside the hub, so sets that differ from it in ways of their own meet nobody.
+        """
+        mine = self.foreign.select("node", F.col("shingles").alias("mine"))
+        theirs = self.foreign.select(F.col("node").alias("hub"), F.col("shingles").alias("theirs"))
+        split = groups.where("node <> hub").join(mine, "node").join(theirs, "hub")
+        outer = F.array_except("mine", "theirs")
+        columns = ["hub", "node", "n", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart"), "hub_n"]
+        split = self.scratch.store(
+            split.select(*columns, outer.alias("outer"), (F.size("mine") - F.size(outer)).alias("inner")), "split"
+        )
+        # The size of the largest partner if all that is shared lies in the hub.
+        room = F.floor((100 + PERCENT) * F.col("inner") / PERCENT) - F.col("n")
+        within = split.select("hub", "node", "n", "comp", "apart", "hub_n", "inner", room.alias("room"))
+        bounds = within.groupBy("hub").agg(
+            F.min("n").alias("least"), F.min(F.when(F.col("apart"), F.col("n"))).alias("least_apart")
+        )
+        small = (F.col("n") < F.col("hub_n")) & (F.col("room") >= F.col("least_apart"))
+        lone = F.col("apart") & (F.col("room") >= F.col("least"))
+        within = within.join(bounds, "hub").where(small | lone).withColumn("small", small).withColumn("lone", lone)
+
+        placed = split.select("hub", F.explode("outer").alias("shingle"), "node", "n", "comp", "inner")
+        placed = self.scratch.store(placed, "placed")
+        spans = placed.groupBy("hub", "shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("m"))
+        placed = placed.join(spans.where("lo <> hi").select("hub", "shingle", "m"), ["hub", "shingle"])
+        most = placed.groupBy("hub", "node").agg(F.count("*").alias("o"), F.min("m").alias("m"))
+        partner = F.greatest("m", F.ceil(F.col("n") * PERCENT / 100))
+        can = (F.col("inner") + F.col("o")) * (100 + PERCENT) >= PERCENT * (F.col("n") + partner)
+        placed = placed.drop("m").join(most, ["hub", "node"]).where(can).drop("o", "m")
+        return self.scratch.store(placed, "placed"), self.scratch.store(within, "within")
+
     @staticmethod
     def _spanning(named: DataFrame) -> DataFrame:
         keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
@@ -304,6 +364,52 @@ def _alike(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _settle(search: _Search, span: DataFrame) -> None:
+    """All links between the components that a bucket still spans.
+
+    Members of a group that share a shingle outside its hub form a smaller bucket, and so do the
+    small sets; these are paired once that takes at most `PAIRS` for each row, or when another
+    round of hubs would not halve them.
+    """
+    before = None
+    while True:
+        groups = search.centred(span)
+        across = groups.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        placed, within = search.remainders(groups.join(across.select("hub"), "hub", "left_semi"))
+        buckets = placed.groupBy("hub", "shingle").agg(F.count("*").alias("rows"), (F.count("*") * F.count("*")).alias("pairs"))
+        ends = F.sum(F.col("small").cast("long")) * F.sum(F.col("lone").cast("long"))
+        small = within.groupBy("hub").agg(F.count("*").alias("rows"), ends.alias("pairs"))
+        buckets = buckets.select("rows", "pairs").union(small.select("rows", "pairs"))
+        rows, pairs = buckets.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+        if pairs <= PAIRS * rows or (before is not None and 2 * pairs > before):
+            search.advance(_facing(placed, within))
+            return
+        before = pairs
+        narrower = placed.select(F.xxhash64("hub", "shingle").alias("key"), "node", "n")
+        narrower = narrower.union(within.select(F.xxhash64("hub").alias("key"), "node", "n"))
+        search.members = search.scratch.store(narrower, "members")
+        span = search.open_members()
+        if not span.take(1):
+            return
+
+
+def _facing(placed: DataFrame, within: DataFrame) -> DataFrame:
+    """The pairs (node, hub) of `remainders` that share enough shingles to be compared."""
+    across = _alike("n", "other_n") & (F.col("comp") != F.col("other_comp"))
+    # No two sets share more than the smaller inner part and the shingles both have outside the hub.
+    fits = (100 + PERCENT) * (F.least("inner", "other_inner") + F.col("met")) >= PERCENT * (F.col("n") + F.col("other_n"))
+
+    def other(df: DataFrame, keys: list[str]) -> DataFrame:
+        return df.select(*keys, *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "comp", "inner")))
+
+    keys = ["hub", "shingle"]
+    outside = placed.join(other(placed, keys), keys).where(across & (F.col("node") > F.col("other_node")))
+    outside = outside.groupBy("hub", "node", "other_node", "n", "other_n", "inner", "other_inner").agg(F.count("*").alias("met"))
+    inside = within.where("small").join(other(within.where("lone"), ["hub"]), "hub").where(across).withColumn("met", F.lit(0))
+    ends = [F.greatest("node", "other_node").alias("node"), F.least("node", "other_node").alias("hub")]
+    return outside.where(fits).select(*ends).union(inside.where(fits).select(*ends)).distinct()
+
+
 def _decide(scratch: Scratch, texts: DataFrame) -> DataFrame:
     """row, ord, n, root (least id of the group), comp (the group; null for empty sets)."""
     described = scratch.store(
@@ -336,27 +442,8 @@ def _decide(scratch: Scratch, texts: DataFrame) -> DataFrame:
     )
     search.advance(met)
     span = search.open_members()
-    for number in range(HUB_ROUNDS if span.take(1) else 0):
-        order = F.xxhash64("node", F.lit(number))
-        hubs = span.groupBy("key").agg(F.min_by(F.struct("node", "n", "comp"), order).alias("h"))
-        pairs = (
-            span.join(hubs, "key")
-            .where((F.col("comp") != F.col("h.comp")) & _alike("n", "h.n"))
-            .select(F.greatest("node", "h.node").alias("node"), F.least("node", "h.node").alias("hub"))
-            .distinct()
-        )
-        if not search.advance(pairs):
-            break
-        span = search.open_members()
     if span.take(1):
-        # A pair that shares several bands is met in the first of them only.
-        keys = span.groupBy("node").agg(F.collect_set("key").alias("keys"))
-        span = scratch.store(span.join(keys, "node"), "open")
-        other = span.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "n", "comp", "keys")))
-        first = F.array_min(F.array_intersect("keys", "other_keys")) == F.col("key")
-        across = (F.col("node") > F.col("other_node")) & (F.col("comp") != F.col("other_comp"))
-        pairs = span.join(other, "key").where(across & _alike("n", "other_n") & first)
-        search.advance(pairs.select("node", F.col("other_node").alias("hub")))
+        _settle(search, span)
 
     named = search.with_comp(classes, "node", "comp")
     roots = named.groupBy("comp").agg(F.min("least").alias("root"))

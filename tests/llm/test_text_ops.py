@@ -375,6 +375,56 @@ def test_chains_of_copies_are_one_component(spark):
     assert first_columns(near_dedup.near_duplicates(frame), 3) == sorted(plain_components(rows), key=str)
 
 
+def borderline_copies(rnd, n):
+    """Copies of two texts that lie on both sides of the threshold, from each other and from the text."""
+    rows = []
+    for family in range(2):
+        base = [f"w{family}x{i}" for i in range(120)]
+        shared = [[f"s{family}x{j}x{i}" for i in range(120)] for j in range(3)]
+        for _ in range(n // 2):
+            words = list(base[: rnd.choice([120, 120, 117, 110])])
+            for _ in range(rnd.choice([1, 2, 3, 4, 4, 5])):
+                at = rnd.randrange(len(words))
+                words[at] = rnd.choice([*(s[at] for s in shared), f"own{rnd.random()}"])
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("pairs_a_row", [0, near_dedup.PAIRS])
+def test_copies_around_the_threshold(spark, monkeypatch, pairs_a_row):
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs_a_row)
+    rows = borderline_copies(random.Random(4), 300)
+    rows += [(1000 + i, "a b c d e f g h " + "k " * i) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert first_columns(near_dedup.near_duplicates(frame), 3) == sorted(plain_components(rows), key=str)
+
+
+def test_compared_pairs_grow_with_the_copies(spark, monkeypatch):
+    compared = []
+    advance = near_dedup._Search.advance
+
+    def counted(self, pairs):
+        known = len(self.tried)
+        out = advance(self, pairs)
+        compared.extend(t.count() for t in self.tried[known:])
+        return out
+
+    monkeypatch.setattr(near_dedup._Search, "advance", counted)
+    rnd = random.Random(8)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(2000):  # four or five words of the text replaced: nearly all just too different
+        words = list(base)
+        for at in rnd.sample(range(120), rnd.choice([3, 4, 4, 5])):
+            words[at] = f"own{i}x{at}"
+        rows.append((i + 1, " ".join(words)))
+    rows.append((0, " ".join(base)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plain = plain_components(rows)
+    assert first_columns(out, 3) == sorted(plain, key=str)
+    assert len({c for _, _, c in plain}) > 500
+    assert sum(compared) < 40 * len(rows)  # 2,000 * 1,999 / 2 is 1,000 for each row
+
+
 def test_one_of_each_stays(clashing):
     kept = near_dedup.keep_one_of_each(clashing)
     rows = [tuple(r) for r in clashing.collect()]
