@@ -29,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossledger.llm.common import Scratch, identified, public_id
@@ -273,15 +273,15 @@ class _Search:
         return True
 
     def open_members(self) -> DataFrame:
-        """Members (key, node, n, comp, least, share, fame) of buckets that span several components.
+        """Members (key, node, n, comp, h) of buckets that span several components.
 
-        `least` is the smallest set of the bucket, `share` the part of a set that other components
-        have too, `fame` how often. Members that can't link to another component are left out, for
+        `h` is the best set of the bucket to meet first: of the sets with the largest part that other
+        components have too, the one whose shingles occur most often. Members that can't link to another component are left out, for
         good, as components only grow together: of a set of n shingles, 3 (n + m) / 7 must be
         shared with a set of m. `foreign` keeps those shingles by node.
         """
         named = self.with_comp(self.members, "node", "comp")
-        span = self.scratch.store(self._spanning(named), "open")
+        span = self.scratch.store(self._spanning(named, F.min("n").alias("least")), "open")
         if not span.take(1):
             return span
         least = F.greatest(F.min("least"), F.ceil(F.col("n") * PERCENT / 100))
@@ -296,7 +296,8 @@ class _Search:
         able = able.select("node", (F.col("o") / F.col("n")).alias("share"), "fame", "shingles")
         self.foreign = self.scratch.store(able, "foreign")
         rest = span.drop("least").join(self.foreign.select("node", "share", "fame"), "node")
-        fewer = self.scratch.store(self._spanning(rest), "open")
+        fewer = self._spanning(rest, F.max(F.struct("share", "fame", "n", "node")).alias("h"))
+        fewer = self.scratch.store(fewer.drop("share", "fame"), "open")
         self.scratch.drop(shingles, span)
         self.members = fewer.select("key", "node", "n")
         return fewer
@@ -308,10 +309,9 @@ class _Search:
         it is there. Buckets take the best hub that any member has in another bucket, so the
         buckets of one family of texts share a hub and become one group.
         """
-        own = span.groupBy("key").agg(F.max(F.struct("share", "fame", "n", "node")).alias("h"))
-        best = span.join(own, "key").groupBy("node").agg(F.max("h").alias("h"))
-        hubs = span.join(best, "node").groupBy("key").agg(F.max("h").alias("h"))
-        groups = span.join(hubs, "key").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
+        best = span.groupBy("node").agg(F.max("h").alias("h"))
+        hubs = span.drop("h").join(best, "node").groupBy("key").agg(F.max("h").alias("h"))
+        groups = span.drop("h").join(hubs, "key").select(F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), "node", "n").distinct()
         groups = self.scratch.store(groups, "groups")
         pairs = groups.where(_alike("n", "hub_n") & (F.col("node") != F.col("hub"))).select("node", "hub")
         self.advance(pairs)
@@ -354,12 +354,13 @@ class _Search:
         return self.scratch.store(placed, "placed"), self.scratch.store(within, "within")
 
     @staticmethod
-    def _spanning(named: DataFrame) -> DataFrame:
-        keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"))
-        return named.join(keys.where("lo <> hi").select("key", "least"), "key")
+    def _spanning(named: DataFrame, told: Column) -> DataFrame:
+        """The rows of buckets with several components, and what `told` says of their bucket."""
+        keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), told)
+        return named.join(keys.where("lo <> hi").drop("lo", "hi"), "key")
 
 
-def _alike(a: str, b: str) -> F.Column:
+def _alike(a: str, b: str) -> Column:
     """Set sizes that leave room for the threshold."""
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
