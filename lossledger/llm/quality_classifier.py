@@ -41,7 +41,10 @@ class Neighbours:
     prior: float
 
     def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.weights) @ self.basis
+        return self.latent(x * self.weights)
+
+    def latent(self, weighted: np.ndarray) -> np.ndarray:
+        z = weighted @ self.basis
         length = np.linalg.norm(z, axis=1, keepdims=True)
         return np.where(length > 1e-9, z / np.maximum(length, 1e-9), 0).astype(np.float32)
 
@@ -67,10 +70,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
         return Neighbours(np.ones(width, np.float32), np.zeros((width, 1), np.float32), np.zeros((0, 1), np.float32), y, 0.5)
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
     weights[2 * DIMS :] *= 2  # shapes are few; without this the vocabulary hides them
-    gram = (x * weights).T @ (x * weights)
-    basis = np.linalg.eigh(gram)[1][:, ::-1][:, :LATENT].astype(np.float32)
+    x *= weights  # in place, as the sample is the largest thing the driver holds
+    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LATENT].astype(np.float32)
     model = Neighbours(weights, np.ascontiguousarray(basis), np.zeros((0, 1), np.float32), y, float(y.mean()))
-    return Neighbours(weights, model.basis, model.project(x), y, model.prior)
+    return Neighbours(weights, model.basis, model.latent(x), y, model.prior)
 
 
 def score(docs: DataFrame, model: Neighbours) -> DataFrame:
