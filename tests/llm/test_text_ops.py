@@ -24,7 +24,7 @@ from lossledger.llm import (
     suffix_dedup,
     token_shards,
 )
-from lossledger.llm.licence_texts import BASE_PHRASES
+from lossledger.llm.licence_texts import BASE_PHRASES, NOTICES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word string, row long, key int"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -322,9 +322,75 @@ def test_notices_need_their_key_phrases(spark):
         "Permission was hereby granted, free of charge, to any person obtaining a copy of this software",
         "released under the mit licence",
         "Licensed under CC BY-NC 4.0.",
+        "Permission is hereby granted, free of charge, to any natural person obtaining a copy of this software",
+        "Permission is hereby and now granted, free of charge, to any person obtaining a copy of this software",
+        "Licensed under the terms of the Apache License, Version 2.0",
+        "Licensed under the Apache License that we have kept for ourselves, Version 2.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     ]
     got = by_id(licence_scan.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert [got[i].labels for i in range(4)] == ["mit", "", "", "cc-by,cc-by-nc"]
+    assert [got[i].labels for i in range(9)] == ["mit", "", "", "cc-by,cc-by-nc", "mit", "mit", "apache-2.0", "", ""]
+
+
+def plain_notices(texts):
+    """Labels and score of each text: every band of every notice, aligned word by word."""
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    docs = [find((t or "").translate(LOWER)) for t in texts]
+    groups = [(label, text, (), 1.0, 0) for text, label in BASE_PHRASES.items()]
+    groups += [(label, text, keys, licence_scan.SHARE, licence_scan.SLACK) for label, text, keys in NOTICES]
+    out = []
+    for doc in docs:
+        labels, score = set(), 0.0
+        for label, text, keys, share, slack in groups:
+            notice = find(text.translate(LOWER))
+            weights = [math.log((len(docs) + 2) / (sum(w in set(d) for d in docs) + 1)) for w in notice]
+            for begin in range(-len(notice) - slack, len(doc)):
+                pairs = [
+                    (p, x)
+                    for p, w in enumerate(notice)
+                    for x in range(max(begin + p, 0), min(begin + p + slack + 1, len(doc)))
+                    if doc[x] == w
+                ]
+                heaviest = {}
+                for p, x in pairs:
+                    before = [v for (q, y), v in heaviest.items() if q < p and y < x]
+                    heaviest[p, x] = weights[p] + max(before, default=0.0)
+                value = max(heaviest.values(), default=0.0) / sum(weights)
+                inside = doc[max(begin, 0) : max(begin + len(notice) + slack, 0)]
+                stand = all(f" {k} " in f" {' '.join(inside)} " for k in keys)
+                if value >= share - 1e-9 and stand:
+                    labels.add(label)
+                    score = max(score, min(value, 1.0))
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_notices_equal_a_plain_alignment(spark):
+    rnd = random.Random(5)
+    texts: list[str | None] = [None, "", "of the " * 300, "licensed " * 50 + "under the mit license " * 40]
+    for _ in range(4):
+        for _, notice, _ in NOTICES:
+            words = notice.split(" ")
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(words))
+                words[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["the"], ["any", "work"], ["licensed"], ["x1"], [words[at]] * 2])
+                words = words or ["x1"]
+            other = rnd.choice(NOTICES)[1] if rnd.random() < 0.3 else sentences(rnd, 4)
+            texts.append(" ".join([sentences(rnd, rnd.randint(0, 9)), *words, other]).strip())
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = by_id(licence_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    want = plain_notices(texts)
+    assert [got[i].labels for i, _ in rows] == [labels for labels, _ in want]
+    assert [got[i].score for i, _ in rows] == pytest.approx([score for _, score in want])
+    assert 20 < sum(bool(labels) for labels, _ in want) < len(rows) - 10
+
+
+def test_postings_name_every_place():
+    index = licence_scan.PositionalIndex()
+    for number, (_, words, *_) in enumerate(index.sources):
+        mine = index.notice == number
+        assert sorted(index.place[mine].tolist()) == list(range(len(words)))
+        assert (index.vocabulary[index.word[mine]] == words[index.place[mine]]).all()
 
 
 # --- 6 near dedup -------------------------------------------------------------------------
