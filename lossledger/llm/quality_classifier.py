@@ -28,6 +28,8 @@ from lossledger.llm.labelled import held_out, labelled_features
 SAMPLE = 4096
 #: Hash buckets of each feature block, latent dimensions, neighbours that vote.
 DIMS, LATENT, NEIGHBOURS = 1024, 48, 15
+#: Directions beyond `LATENT` that subspace iteration carries along, and its rounds.
+EXTRA, ROUNDS = 16, 12
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,20 @@ class Neighbours:
         return np.clip(np.where(total > 1e-9, share, self.prior), 0, 1)
 
 
+def leading_directions(x: np.ndarray, count: int) -> np.ndarray:
+    """Orthonormal columns spanning the directions in which the rows of `x` are largest, largest first.
+
+    Subspace iteration from a fixed start; it holds some thin matrices and never x' x.
+    """
+    wide = min(count + EXTRA, x.shape[1])
+    span = np.random.default_rng(0).standard_normal((x.shape[1], wide), dtype=np.float32)
+    for _ in range(ROUNDS):
+        span = np.linalg.qr(x.T @ (x @ span))[0]
+    seen = (x @ span).astype(np.float64)
+    turn = np.linalg.eigh(seen.T @ seen)[1][:, ::-1][:, :count]
+    return np.ascontiguousarray(span @ turn.astype(np.float32))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     """Latent-semantic vectors of at most `sample` labelled documents."""
     x, y = labelled_features(docs, labels, sample, DIMS, with_shapes=True)
@@ -71,8 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Neighbours:
     weights = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
     weights[2 * DIMS :] *= 2  # shapes are few; without this the vocabulary hides them
     x *= weights  # in place, as the sample is the largest thing the driver holds
-    basis = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :LATENT].astype(np.float32)
-    model = Neighbours(weights, np.ascontiguousarray(basis), np.zeros((0, 1), np.float32), y, float(y.mean()))
+    model = Neighbours(weights, leading_directions(x, LATENT), np.zeros((0, 1), np.float32), y, float(y.mean()))
     return Neighbours(weights, model.basis, model.latent(x), y, model.prior)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import test_text_ops as plain
 from lossledger.llm import quality_classifier, quality_rules
@@ -29,6 +30,17 @@ def test_lines_of_a_text_do_not_depend_on_the_texts_before_it():
     assert [int(quality_rules.rule_counts(pa.array([t], pa.string()))["n_dup_lines"][0]) for t in texts] == want
 
 
+def test_leading_directions_hold_as_much_as_the_exact_ones():
+    rnd = np.random.default_rng(3)
+    for rows, columns in ((300, 120), (20, 90), (1, 5)):
+        x = (rnd.standard_normal((rows, columns)) * np.geomspace(1, 0.05, columns)).astype(np.float32)
+        got = quality_classifier.leading_directions(x, 48)
+        kept = min(48, columns)
+        assert got.shape == (columns, kept) and np.allclose(got.T @ got, np.eye(kept), atol=1e-4)
+        exact = np.sort(np.linalg.svd(x.astype(np.float64), compute_uv=False))[::-1][:kept]
+        assert np.square(x @ got).sum() > 0.99999 * np.square(exact).sum()
+
+
 def test_vote_is_the_plain_one(spark):
     """Scores against a loop over all labelled vectors, one text at a time."""
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
