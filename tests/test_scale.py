@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 
 from conftest import event, lines
 from pyspark.sql import functions as F
 
-from lossledger.operators import contracts
+from lossledger.fixtures import queries
+from lossledger.operators import contracts, dedup
 from lossledger.operators.settle import settled
+from lossledger.session import path_exists
+from lossledger.sources import records
 
 
 def plan(df):
@@ -32,6 +36,26 @@ def test_counting_outcomes_builds_no_stored_values(spark):
     assert counts.collect() == [("accepted", 1)]
 
 
+def test_a_range_reads_each_time_once(spark):
+    start, end = datetime(2025, 1, 1, tzinfo=UTC), datetime(2026, 1, 1, tzinfo=UTC)
+    found = records.records_between(lines(spark, event("claim"), "no json"), start, end)
+    assert plan(found).index("Filter") < plan(found).index("Generate")  # not merged into the steps that read the time
+    assert found.count() == 1
+
+
+def test_rows_without_an_id_are_flagged_in_the_one_pass_over_the_batch(spark):
+    rows = [("a", 1), ("b", 2), (None, 3), (None, 3), ("a", 4)]
+    batch = spark.createDataFrame(rows, "event_id string, n int")
+    seen = spark.sparkContext.accumulator(0)
+    noted = spark.createDataFrame(batch.rdd.map(lambda r: (seen.add(1), r)[1]), batch.schema)
+    known = spark.createDataFrame([("a",)], "event_id string")
+    flagged = dedup.flag_known(noted, known, fits=False)
+    assert flagged.columns == ["event_id", "n", "is_known"]
+    found = sorted((r["n"], r["is_known"]) for r in flagged.collect())
+    assert found == [(1, True), (2, False), (3, False), (3, False), (4, True)]
+    assert seen.value == len(rows)
+
+
 def test_repeated_keys_and_signed_zeros_are_read_as_the_document_has_them(spark):
     doubled = json.dumps(event("claim")).replace('"event_version": 1', '"event_version": "x", "event_version": 7')
     doubled = doubled.replace('"severity": 3', '"severity": [1], "severity": 4')
@@ -42,3 +66,13 @@ def test_repeated_keys_and_signed_zeros_are_read_as_the_document_has_them(spark)
     assert (first["outcome"], first["event_version"], first["severity"]) == ("accepted", 7, 4)
     assert str(second["paid_amount"]) == "0.0"
     assert third["error_class"] == contracts.JSON_ERROR
+
+
+def test_stored_lines_are_compressed(spark, monkeypatch):
+    given = lines(spark, *(event("claim", event_id=f"event-{i:06}") for i in range(500)))
+    monkeypatch.setattr(queries.fx, "all_raw_lines", lambda *_: given)
+    path = queries._stored_lines(spark, "")
+    assert path_exists(spark, f"{path}/*.gz")
+    stored = records.read_lines(spark, path)
+    assert sorted(r["value"] for r in stored.collect()) == sorted(r["value"] for r in given.collect())
+    assert records.line_count(spark, path) == 500
