@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
+import pytest
 from conftest import event, lines
 from pyspark.sql import functions as F
 
@@ -79,6 +80,43 @@ def test_stored_lines_are_compressed(spark, monkeypatch):
 
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Tables of one row group each."""
+    at = datetime(1996, 3, 1)
+    stamp = "timestamp_ntz"
+    frames = {
+        "nation": ([(1, "N")], "n_nationkey long, n_name string"),
+        "customer": (
+            [(7, "Customer#7", 1, "HOUSEHOLD", 10.0)],
+            "c_custkey long, c_name string, c_nationkey long, c_mktsegment string, c_acctbal double",
+        ),
+        "orders": (
+            [(i, 7, "F", "1-URGENT", at, 20.0) for i in range(9)],
+            f"o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate {stamp}, o_totalprice double",
+        ),
+        "lineitem": (
+            [(i, 1, 5, 3, 4.0, 30.0, 0.1, 0.2, "N", "O", at) for i in range(9)],
+            "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+            f"l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate {stamp}",
+        ),
+        "events": (
+            [(i, at, 3, "click", 1.5) for i in range(9)],
+            f"event_id long, ts {stamp}, user_id long, event_type string, value double",
+        ),
+    }
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_lines_of_one_row_group_are_made_by_several_tasks(spark, tables):
+    made = {e: queries.fx.raw_lines(spark, tables, e) for e in queries.schemas.ENTITIES}
+    made["feed"] = queries.fx.feed_records(spark, tables)
+    for name, found in made.items():
+        tasks = found.withColumn("task", F.spark_partition_id()).collect()
+        assert len(tasks) == 9, name
+        assert len({r["task"] for r in tasks}) > 1, name
 
 
 def test_a_run_of_many_ids_is_sorted_by_several_tasks(spark, tmp_path):
