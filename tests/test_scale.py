@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lossledger.fixtures import queries
 from lossledger.operators import contracts, dedup, ledger
 from lossledger.operators.settle import settled
+from lossledger.plans import ingest
 from lossledger.session import path_exists
 from lossledger.sources import records
 
@@ -139,3 +140,17 @@ def test_outcomes_check_each_line_once(spark, monkeypatch):
     found = queries._tagged(spark, "").groupBy("outcome").count().collect()
     assert sorted(map(tuple, found)) == [("accepted", 1), ("duplicate", 1), ("rejected", 2)]
     assert seen.value == 4
+
+
+def test_a_shuffled_batch_meets_its_ledger_once(spark, lake, tokens, monkeypatch):
+    given = lines(spark, event("claim", event_id="event-0001"), event("policy", event_id="event-0002"), "no json")
+    more = lines(spark, event("claim", event_id="event-0001"), event("payment", event_id="event-0003"), "no json")
+    seen, flag = spark.sparkContext.accumulator(0), dedup.flag_known
+    monkeypatch.setattr(dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(ingest, "flag_known", lambda *a: noted(flag(*a), seen))
+    first = ingest.ingest_batch(spark, given, lake, "b1", tokens)
+    assert (first.accepted, first.rejected, first.duplicates) == (2, 1, 0)
+    assert seen.value == 0  # an empty ledger knows nothing
+    second = ingest.ingest_batch(spark, more, lake, "b2", tokens)
+    assert (second.accepted, second.rejected, second.duplicates) == (1, 1, 1)
+    assert seen.value == 3
