@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from lossledger.fixtures import queries
 from lossledger.operators import contracts, dedup, ledger
 from lossledger.operators.settle import settled
-from lossledger.plans import ingest
+from lossledger.operators.stored_events import StoredEvents
+from lossledger.plans import ingest, silver
 from lossledger.session import path_exists
 from lossledger.sources import records
 
@@ -154,3 +155,61 @@ def test_a_shuffled_batch_meets_its_ledger_once(spark, lake, tokens, monkeypatch
     second = ingest.ingest_batch(spark, more, lake, "b2", tokens)
     assert (second.accepted, second.rejected, second.duplicates) == (1, 1, 1)
     assert seen.value == 3
+
+
+def shuffled(df):
+    """The columns of each shuffle of a plan."""
+    found, left = [], [df._jdf.queryExecution().executedPlan().initialPlan()]
+    while left:
+        node = left.pop()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            found.append(node.output().mkString(","))
+    return found
+
+
+def test_whole_claims_are_not_shuffled(spark, tables, lake):
+    for name in ("latest_claim", "fct_claims_current"):
+        found = shuffled(queries.QUERIES[name](spark, tables))
+        assert found and not any("claimant_name_token" in columns or "adjuster_id" in columns for columns in found), name
+
+
+def test_stored_events_give_the_rows_of_the_plain_plans(spark, tables):
+    def changed(df, **new):
+        return df.withColumns({n: F.expr(v) for n, v in new.items()})
+
+    bronze = queries.fx.bronze(spark, tables, "claim")
+    later = "ingested_at + interval 1 day"
+    claims = bronze
+    for more in (
+        changed(bronze, ingested_at=later, claim_id="'1'", state="'ZZ'"),  # a later copy under another claim
+        changed(bronze, event_id="concat(event_id, 'x')", claim_id="cast(cast(claim_id as int) % 3 as string)"),
+        changed(bronze, event_id="cast(null as string)", ingested_at=later, state="'NN'", claim_id="'n'").limit(1),
+        changed(bronze, event_id="concat(event_id, 'y')", claim_id="cast(null as string)", state="'KK'"),
+        changed(bronze, event_id="concat(event_id, 'z')", policy_id="cast(null as string)", occurred_at="cast(null as timestamp)"),
+        bronze,  # equal copies
+    ):
+        claims = claims.unionByName(more)
+    stored = StoredEvents.store(claims, silver.UNSTAGED)
+    plain = silver.stg_claims(claims)
+    payments = silver.stg_payments(queries.fx.bronze(spark, tables, "payment"))
+    raw = queries.fx.bronze(spark, tables, "policy")
+    policies = raw.unionByName(changed(raw, ingested_at=later, state="'QQ'")).unionByName(
+        changed(raw, event_id="concat(event_id, 'p')", policy_id="cast(null as string)")
+    )
+    kept = StoredEvents.store(policies, silver.UNSTAGED)
+    current = silver.latest_policy(silver.stg_policies(policies))
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    assert rows(silver.stored_latest_claim(stored)) == rows(silver.latest_claim(plain))
+    fact = silver.fct_claims_current(plain, payments, current)
+    found = silver.stored_claims_current(stored, payments, current)
+    assert found.schema.names == fact.schema.names
+    assert rows(found) == rows(fact) and len(rows(fact)) > 5
+    history = silver.dim_policy_history(silver.stg_policies(policies))
+    assert rows(silver.stored_policy_history(kept)) == rows(history)
+    # The way of heavy policies too; it gives no rows to a policy without an id.
+    limits = {"share": 1e-9, "min_rows": 3}
+    assert rows(silver.stored_policy_history(kept, **limits)) == rows(silver.dim_policy_history(silver.stg_policies(policies), **limits))
