@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lossledger import schemas
 from lossledger.lake import Lake
+from lossledger.operators.stored_events import StoredEvents
 from lossledger.plans import gold, quality, silver
 from lossledger.session import configure
 from lossledger.sinks.tables import (
@@ -41,10 +42,10 @@ def build_run(lake: Lake, run_id: str, bronze: dict[str, DataFrame]) -> dict[str
 
     `bronze` holds one frame per entity.
     """
-    policies = silver.stg_policies(bronze["policy"])
-    claims = silver.stg_claims(bronze["claim"])
+    policies, claims = (StoredEvents.store(bronze[entity], silver.UNSTAGED) for entity in ("policy", "claim"))
     payments = silver.stg_payments(bronze["payment"])
-    register_views({"stg_policies": policies, "stg_claims": claims, "stg_payments": payments})
+    staged = {"stg_policies": silver.stg_policies(policies.rows), "stg_claims": silver.stg_claims(claims.rows)}
+    register_views({**staged, "stg_payments": payments})
 
     tables: dict[str, DataFrame] = {}
 
@@ -52,9 +53,9 @@ def build_run(lake: Lake, run_id: str, bronze: dict[str, DataFrame]) -> dict[str
         tables[name] = write_table(df, lake, run_id, schema, name)
         return tables[name]
 
-    history = keep("silver", "dim_policy_history", silver.dim_policy_history(policies, weigh=bronze["policy"]))
+    history = keep("silver", "dim_policy_history", silver.stored_policy_history(policies))
     current = keep("silver", "dim_policy_current", silver.dim_policy_current(history))
-    fact = keep("silver", "fct_claims_current", silver.fct_claims_current(claims, payments, current))
+    fact = keep("silver", "fct_claims_current", silver.stored_claims_current(claims, payments, current))
     keep("gold", "claims_kpis", gold.claims_kpis(fact))
     keep("gold", "daily_claim_metrics", gold.daily_claim_metrics(fact))
     keep("gold", "high_risk_claims", gold.high_risk_claims(fact).orderBy(*gold.by_risk()))
