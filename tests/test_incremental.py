@@ -201,3 +201,18 @@ def test_counters_add_up_once_a_batch(spark, store):
         incremental.update_counters(store, counts, batch)
     assert {(r.outcome, r.rows) for r in incremental.counters(store).collect()} == {("accepted", 6), ("rejected", 2)}
     assert monitoring.totals(incremental.counters(store)).first()["accepted"] == 6
+
+
+def test_an_update_computes_its_batch_once(spark, store):
+    claims = staged(spark, "claim", [claim(i, f"k{i % 4}", i) for i in range(9)])
+    payments = staged(spark, "payment", [payment(i, f"k{i % 5}", 10) for i in range(7)])
+    current = silver.latest_policy(staged(spark, "policy", [policy(i, f"p{i}", 1) for i in range(3)]))
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(df):
+        return spark.createDataFrame(df.rdd.map(lambda r: (seen.add(1), r)[1]), df.schema)
+
+    incremental.update_claims(store, noted(claims), noted(payments), noted(current), "b0", buckets=2)
+    assert seen.value == 9 + 7 + 3
+    fact = silver.fct_claims_current(claims, payments, current)
+    assert rows_of(incremental.claims_fact(store, claims, 2)) == rows_of(fact)
