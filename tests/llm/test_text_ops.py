@@ -251,6 +251,42 @@ def test_viterbi_takes_the_best_path(spark):
         assert math.isclose(sum(scores[i] for i in r.ids), best(r.unit), abs_tol=1e-9)
 
 
+def test_lattice_cuts_each_text_once(spark, odd_rows, tmp_path):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, model = piece_lattice.PieceTable.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(r[0], r[1]) for r in odd_rows if len(r[1] or "") < 5000]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents"))
+    done = piece_lattice.encode(spark.read.parquet(str(tmp_path / "documents")), table)
+    # What is left to do reads the stored units and numbers; the documents are neither read nor cut again.
+    assert done.inputFiles() and not any("documents" in f for f in done.inputFiles())
+    assert {r.doc_id: r.ids for r in done.collect()} == {i: model.encode(text or "") for i, text in rows}
+
+
+def test_lattice_units_are_those_of_a_pattern():
+    import pyarrow as pa
+
+    mark, letters = piece_lattice.MARK, r"[^\W\d_]"
+    fine = re.compile(rf"{mark}*{letters}+|{mark}*(?:(?!{mark}|{letters}).)+|{mark}+", re.DOTALL)
+    coarse = re.compile(rf"{mark}+[^{mark}]*|[^{mark}]+")
+    rnd = random.Random(7)
+    texts = ["", " ", "a", "  a b", "日本 1é", *("".join(rnd.choice("ab  \n1.é日😀▁") for _ in range(rnd.randint(0, 60))) for _ in range(200)), ""]
+    for pattern, is_fine in ((fine, True), (coarse, False)):
+        wanted = [pattern.findall(mark + t.replace(" ", mark)) if t else [] for t in texts]
+        units, counts = piece_lattice.cut(pa.array(["unread", *texts]).slice(1), is_fine)
+        assert counts.tolist() == [len(w) for w in wanted]
+        assert units.to_pylist() == [u for w in wanted for u in w]
+    assert piece_lattice.cut(pa.array([], pa.string()), True)[0].to_pylist() == []
+
+
+def test_lattice_numbers_come_back():
+    for kind in (np.int64, np.uint32):
+        for n in (0, 1, 1000):
+            numbers = np.random.default_rng(n).integers(0, 1 << 31, n).astype(kind)
+            assert np.array_equal(piece_lattice._spread(piece_lattice._squeeze(numbers), kind), numbers)
+
+
 # --- 4 suffix dedup -----------------------------------------------------------------------
 
 
