@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossledger.lake import Lake
+from lossledger.session import shuffles_removed
 
 
 def write_table(df: DataFrame, lake: Lake, run_id: str, schema: str, name: str) -> DataFrame:
     """Write a table of a run and return it as read back, so that later steps start there."""
     path = lake.table(run_id, schema, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
